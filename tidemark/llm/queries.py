@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytepair, neardup, packing, shared, tokenfiles
+from tidemark.llm import bytepair, neardup, packing, shared, substrings, tokenfiles
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -36,12 +36,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(lengths)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_token_files, op5_best_fit_packing, op10_hyperminhash_near_dedup)}
+    return {f.__name__: f for f in (op3_token_counts, op4_token_files, op5_best_fit_packing, op6_substring_dedup, op10_hyperminhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
