@@ -2,15 +2,14 @@
 
 1. One pass over the texts gives each document's shingle count, set digest and
    sketch.  Documents of equal digest are one class, named by its least id.
-2. Band keys of the classes' registers make buckets.  In each bucket the least
-   member is the centre: every other member is a candidate with the centre, so
-   a bucket of m members gives m - 1 pairs.
+2. Band keys of the classes' registers make buckets.  In each bucket every
+   member is a candidate with a centre, so m members give about m pairs.
 3. Sizes and the corrected sketch estimate drop hopeless pairs; the others are
    verified on full shingle sets, made from the whole texts.
 4. Components of the verified links.  Then the bucket mates that still are in
    different components are candidates themselves (all of them: no pair that
    shares a bucket goes untested, whatever the bucket's size), and components
-   are taken again.  After step 2 the members of a group of copies are one
+   are taken again.  After step 3 the members of a group of copies are one
    component, so what is left grows with the outsiders of a bucket.
 """
 
@@ -18,13 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hyperminhash as hm
 from tidemark.llm import shared
 from tidemark.llm import textblock as tb
-from tidemark.llm.components import components
+from tidemark.llm.bands import bucket_mates, link
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -55,16 +54,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(shared.each_batch(run), "doc_id long, n_shingles long, c1 long, c2 long, registers binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """key, node of every band of classes(node, size, registers)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, hm.REGISTERS)
-        keys = hm.band_keys(registers)
-        node = np.repeat(batch.column(0).to_numpy(), hm.BANDS)
-        return pa.RecordBatch.from_arrays([pa.array(tb.signed(keys.ravel())), pa.array(node)], names=["key", "node"])
-
-    return classes.select("node", "registers").mapInArrow(shared.each_batch(run), "key long, node long")
+def _keys(batch: pa.RecordBatch):
+    """Band keys of classes(node, registers)."""
+    registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, hm.REGISTERS)
+    yield hm.band_keys(registers).ravel(), np.repeat(batch.column(0).to_numpy(), hm.BANDS)
 
 
 def _hopeful(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -87,6 +80,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose shingle sets have the threshold, by the full texts of docs(doc_id, text).  pairs is read twice."""
     per_mille = round(threshold * 1000)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = shared.checked(shared.materialise(wanted, "wanted"))
     texts = shared.materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
@@ -132,40 +126,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = sketched.where("n_shingles > 0")
     classes = own.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"))
     classes = shared.materialise(classes, "classes")
-    buckets = _bands(classes).repartition("key")
-    window = Window.partitionBy("key")
-    buckets = buckets.withColumn("centre", F.min("node").over(window)).withColumn("last", F.max("node").over(window)).where("centre < last")
-    buckets = shared.materialise(buckets.select("key", "node", "centre"), "buckets")
+    mates = bucket_mates(classes.select("node", "registers"), hm.BANDS * classes.count(), _keys)
 
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+    def test(pairs: DataFrame, name: str) -> DataFrame:
         hopeful = shared.materialise(_hopeful(pairs, classes, threshold), f"pairs-{name}")
         return shared.materialise(_verified(hopeful, rows, threshold).distinct(), f"links-{name}")
 
-    first = links_of(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    found = components(first)
-    left = _outsiders(buckets, found)
-    more = links_of(left, "rest")
-    found = components(first.union(more))
+    found = link(mates, test)
     named = classes.select("c1", "c2", "node").join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.coalesce("component", "doc_id")
     real = lambda c: F.when(c != F.lit(_NO_ID), c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
-
-
-def _outsiders(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of bucket mates in different components; pairs with the centre were tested before.
-
-    Each member outside its bucket's largest component meets all members of
-    other components, so a bucket's cost is its outsiders times its members,
-    not its members squared.
-    """
-    placed = buckets.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("top"))
-    placed = shared.materialise(placed.join(mixed, "key"), "mixed")
-    outside = placed.where("c <> top").select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-    mates = placed.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), "top", "centre")
-    # two outsiders meet once, from the smaller node
-    pairs = outside.join(mates, "key").where("ca <> cb and (cb = top or a < b) and a <> centre and b <> centre")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

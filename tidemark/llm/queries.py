@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytepair, neardup, packing, shared, substrings, tokenfiles
+from tidemark.llm import bytepair, leaks, lines, neardup, packing, shared, substrings, tokenfiles
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    items = F.col("leaks.item_id")
+    return found.select("doc_id", F.size("leaks").cast("long").alias("n_items"), items.alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"), (F.size("leaks") == 0).alias("kept"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = bytepair.count_tokens(docs, public_tokenizers.path(VOCABULARY))
@@ -40,12 +47,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_token_files, op5_best_fit_packing, op6_substring_dedup, op10_hyperminhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_counts, op4_token_files, op5_best_fit_packing, op6_substring_dedup, op9_fuzzy_line_dedup, op10_hyperminhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

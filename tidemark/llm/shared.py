@@ -16,6 +16,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -55,6 +56,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two longs that a broadcast may hold (about 64 MB as a hash relation).
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """df (written already; a few longs a row), to be broadcast if its counted rows are few, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 @contextmanager
 def new_file(path: str) -> Iterator:
     """A file of the shared folder, seen under its name only when whole; writing it again replaces it."""
