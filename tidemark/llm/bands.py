@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -97,39 +98,175 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
     return source.mapInArrow(deal, _PACKED).groupBy("kind", "bucket").applyInArrow(meet, _MATES)
 
 
-def link(mates: DataFrame, test: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(node, component) of all linked nodes; test(pairs(a, b), name) gives the pairs that are links.
+#: Rounds of tests against drawn members, and tests a node and key in each.
+ROUNDS, DRAWN = 2, 2
+#: Components whose outsiders make more pairs than this are compared in blocks of nodes, others pair by pair.
+LISTED, BLOCK = 2000, 512
 
-    Nodes are tested against their centres first.  Then all bucket mates that
-    are still in different components are tested too, so every two nodes that
-    share a key are either in one component or have been compared.
+
+@dataclass(frozen=True)
+class Measure:
+    """members(block) gives (text, hash) of each text's distinct members; sets are similar from the Jaccard threshold."""
+
+    members: Callable[[tb.Block], tuple[np.ndarray, np.ndarray]]
+    threshold: float
+
+    def listing(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of all texts of a column, by text."""
+        texts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for block in tb.blocks(column):
+            text, h = self.members(block)
+            texts.append(text + block.first)
+            hashes.append(h)
+        return np.concatenate(texts), np.concatenate(hashes)
+
+    def similar(self, inter: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        union = size_a + size_b - inter
+        return (union > 0) & (1000 * inter >= round(1000 * self.threshold) * union)
+
+
+@dataclass(frozen=True)
+class Sets:
+    """The sets behind nodes: fetch(nodes(node)) gives (node, text); hopeful(pairs(a, b)) may drop pairs that can't be links."""
+
+    measure: Measure
+    fetch: Callable[[DataFrame], DataFrame]
+    hopeful: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+
+
+def link(mates: DataFrame, sets: Sets) -> DataFrame:
+    """(node, component) of all nodes with a link: bucket mates whose sets have the threshold.
+
+    Nodes are tested against their centres first.  What then lies outside the
+    largest component of one of its keys is tested against a few members of
+    that component, drawn by hash, round by round: in a group of near copies
+    nearly all that have links find one that way, at a cost linear in the
+    group.  At last all bucket mates that still are in different components
+    are compared, so every two nodes that share a key either are in one
+    component or have been compared on their full sets.
     """
     mates = shared.materialise(mates, "mates")
-    star = mates.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = test(star, "star")
-    found = shared.materialise(components(first), "found")
-    left = shared.materialise(_outsiders(mates, found), "outsiders")
-    if left.isEmpty():
-        return found
-    return components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(test(left, "rest")))
+    pairs = mates.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = _verified(pairs, sets)
+    nodes = mates.select("key", "node").distinct()
+    for turn in range(ROUNDS + 1):
+        found = shared.materialise(components(links), "found")
+        mixed = _mixed(nodes, found)
+        if mixed.isEmpty():
+            return found
+        stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        if turn < ROUNDS:
+            links = stars.union(_verified(_drawn(mixed, turn), sets))
+            nodes = mixed.select("key", "node")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "top")
+    outsiders = mixed.where("c <> top").select("top", "node", "c").distinct()
+    heads = outsiders.groupBy("top").agg(F.count("*").alias("o")).join(sizes, "top", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    large = shared.materialise(heads.where(F.col("o") * (F.col("o") + F.col("n")) > LISTED), "large")
+    listed = _verified(_listed(mixed.join(large, "top", "left_anti")), sets)
+    return components(stars.union(listed).union(_compared(outsiders, found, large, sets)))
+
+
+def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    pairs = shared.materialise(sets.hopeful(pairs), "pairs")
+    wanted = shared.materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    texts = shared.materialise(sets.fetch(wanted), "texts")
+    side = lambda x, y: texts.select(F.col("node").alias(x), F.col("text").alias(y))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    measure = sets.measure
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                n = len(batch)
+                # texts 2i and 2i+1 are the pair i
+                turn = np.arange(2 * n).reshape(2, n).T.ravel()
+                column = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(pa.array(turn))
+                text, h = measure.listing(column)
+                size = np.bincount(text, minlength=2 * n)
+                keep = measure.similar(tb.intersection_sizes(text, h, n), size[0::2], size[1::2])
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
+    return shared.materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
-def _outsiders(mates: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key, are in different components and weren't centre and node.
 
-    Each node outside its key's largest component meets all nodes of other
-    components, so a key's cost is its outsiders times its nodes, not its
-    nodes squared.
+def _compared(outsiders: DataFrame, found: DataFrame, large: DataFrame, sets: Sets) -> DataFrame:
+    """Links of the outsiders of large components with members of those, and with each other; one a node and component in each block.
+
+    Blocks of outsiders meet blocks of all, by a hash of the node, so a task
+    holds 2 * BLOCK sets however large the component.
     """
-    placed = mates.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    nodes = placed.select("key", "node", "c").distinct()
-    sizes = nodes.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("top"))
-    nodes = shared.materialise(nodes.join(mixed, "key"), "mixed")
-    outside = nodes.where("c <> top").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    others = nodes.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), "top")
+    if large.isEmpty():
+        return found.select(F.col("component").alias("a"), F.col("node").alias("b")).limit(0)
+    out = outsiders.join(large, "top")
+    inside = found.select(F.col("component").alias("top"), "node", F.col("component").alias("c")).join(large, "top")
+    alone = large.join(found.select(F.col("component").alias("top")), "top", "left_anti")
+    every = out.unionByName(inside).unionByName(alone.select("top", F.col("top").alias("node"), F.col("top").alias("c"), "o", "n"))
+    texts = shared.materialise(sets.fetch(shared.materialise(every.select("node").distinct(), "wanted")), "texts")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows, columns = blocks(F.col("o")), blocks(F.col("o") + F.col("n"))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    left = out.select("top", "node", "c", dealt(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
+    right = every.select("top", "node", "c", dealt(columns).alias("j"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"))
+
+    measure = sets.measure
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        n, m = len(a), len(b)
+        (ta, ha), (tb_, hb) = measure.listing(a.column("text")), measure.listing(b.column("text"))
+        size_a, size_b = np.bincount(ta, minlength=n), np.bincount(tb_, minlength=m)
+        common = np.intersect1d(ha, hb)
+        inter = np.zeros((n, m), np.float32)
+        at_a, at_b = np.searchsorted(common, ha), np.searchsorted(common, hb)
+        in_a, in_b = np.isin(ha, common), np.isin(hb, common)
+        (ta, at_a), (tb_, at_b) = (ta[in_a], at_a[in_a]), (tb_[in_b], at_b[in_b])
+        order_a, order_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+        ta, at_a, tb_, at_b = ta[order_a], at_a[order_a], tb_[order_b], at_b[order_b]
+        step = 2048
+        for low in range(0, len(common), step):
+            dense = []
+            for text, at, size in ((ta, at_a, n), (tb_, at_b, m)):
+                i, j = np.searchsorted(at, [low, low + step])
+                part = np.zeros((size, min(step, len(common) - low)), np.float32)
+                part[text[i:j], at[i:j] - low] = 1
+                dense.append(part)
+            inter += dense[0] @ dense[1].T
+        node_a, node_b, ca, cb = (np.asarray(x) for x in (a.column("node"), b.column("node"), a.column("c"), b.column("c")))
+        hit = measure.similar(inter.astype(np.int64), size_a[:, None], size_b[None, :]) & (ca[:, None] != cb[None, :])
+        x, y = np.nonzero(hit)
+        _, first = np.unique(np.stack([x, cb[y]], 1), axis=0, return_index=True)
+        return pa.table({"a": node_a[x[first]], "b": node_b[y[first]]})
+
+    names = ["node", "top", "c", "i", "j", "text"]
+    sides = [f.join(texts, "node").select(*names).toDF(*names).groupBy("top", "i", "j") for f in (left, right)]
+    return shared.materialise(sides[0].cogroup(sides[1]).applyInArrow(compare, "a long, b long"), "block-links")
+
+
+def _mixed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, component c, the key's largest component top and its nodes n_top, of keys with several components."""
+    placed = nodes.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return shared.materialise(placed.join(mixed.select("key", F.col("most.c").alias("top"), F.col("most.n").alias("n_top")), "key"), "mixed")
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _drawn(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each node outside the largest component of a key, with about DRAWN members of that component."""
+    slots = F.greatest(F.lit(1), F.floor(F.col("n_top") / DRAWN))
+    slot = lambda *by: F.pmod(F.xxhash64(*by, F.lit(turn)), slots)
+    outside = mixed.where("c <> top").select("key", slot("node", "key").alias("slot"), F.col("node").alias("x"))
+    inside = mixed.where("c = top").select("key", slot("node").alias("slot"), F.col("node").alias("y"))
+    return _pairs(outside.join(inside, ["key", "slot"]))
+
+
+def _listed(mixed: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a key and are in different components, one of them outside the key's largest."""
+    outside = mixed.where("c <> top").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    others = mixed.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), "top")
     # two outsiders meet once, from the smaller node
-    pairs = outside.join(others, "key").where("cx <> cy and (cy = top or x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tested = mates.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return _pairs(outside.join(others, "key").where("cx <> cy and (cy = top or x < y)"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import shared
 from tidemark.llm import textblock as tb
 from tidemark.llm.pretokens import PieceCache, piece_starts
 
@@ -145,6 +146,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", name: str
     columns of the new names, they are replaced.  ``vocabulary`` is the path
     of a byte-level vocabulary file that all executors can open.
     """
+    shared.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "n_bytes", name)]
     frame = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("__text"))
     out = frame.drop("__text").withColumns({"n_bytes": F.lit(0).cast("long"), name: F.lit(0).cast("long")}).schema

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import shared
+
 CHARS_PER_ERROR = 16
 #: Shorter items (normalised) aren't searched: they match by chance.
 LEAST_CHARS = 32
@@ -138,6 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
     larger benchmark is dealt over several passes.  A document is searched
     whole and alone, so nothing is shuffled.
     """
+    shared.small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= LEAST_CHARS)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, math.ceil(chars / PASS_CHARS))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 from tidemark.llm import textblock as tb
-from tidemark.llm.bands import bucket_mates, link
+from tidemark.llm.bands import Measure, Sets, bucket_mates, link
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -130,34 +130,12 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    per_mille = round(threshold * 1000)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = shared.materialise(_texts(rows, shared.checked(shared.materialise(wanted, "wanted"))), "line-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                n = len(batch)
-                turn = np.arange(2 * n).reshape(2, n).T.ravel()
-                column = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(pa.array(turn))
-                owners, hashes = [], []
-                for block in tb.blocks(column):
-                    lines = Lines(block)
-                    owner, h = lines.shingles(np.arange(len(lines.start)))
-                    owners.append(lines.text[owner] + block.first)
-                    hashes.append(h)
-                owner, h = np.concatenate(owners), np.concatenate(hashes)
-                first = tb.firsts(h ^ tb.mix(owner.astype(np.uint64), 0x7E))
-                owner, h = owner[first], h[first]
-                size = np.bincount(owner, minlength=2 * n)
-                inter = tb.intersection_sizes(owner, h, n)
-                union = size[0::2] + size[1::2] - inter
-                yield batch.select(["a", "b"]).filter(pa.array((union > 0) & (1000 * inter >= per_mille * union)))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _members(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
+    lines = Lines(block)
+    owner, h = lines.shingles(np.arange(len(lines.start)))
+    text = lines.text[owner]
+    first = tb.firsts(h ^ tb.mix(text.astype(np.uint64), 0x7E))
+    return text[first], h[first]
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str, str] = ("n_lines", "n_removed", "removed_lines")) -> DataFrame:
@@ -175,14 +153,14 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str
     rest of its lines joined by line feeds.  An empty table gives an empty
     result.
     """
+    shared.small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in counts]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version")]
     rows = docs.select(*identity, F.col("text").cast("string").alias("text"))
     lines = shared.materialise(_occurrences(rows), "lines")
     mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys)
-    test = lambda pairs, name: shared.materialise(_verified(shared.materialise(pairs, f"line-pairs-{name}"), rows, threshold), f"line-links-{name}")
-    found = link(mates, test)
+    found = link(mates, Sets(Measure(_members, threshold), lambda wanted: _texts(rows, shared.checked(wanted))))
     placed = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct("id", "version", "line")
     # the least place of a component, summed up before it is dealt out

@@ -6,11 +6,8 @@
    member is a candidate with a centre, so m members give about m pairs.
 3. Sizes and the corrected sketch estimate drop hopeless pairs; the others are
    verified on full shingle sets, made from the whole texts.
-4. Components of the verified links.  Then the bucket mates that still are in
-   different components are candidates themselves (all of them: no pair that
-   shares a bucket goes untested, whatever the bucket's size), and components
-   are taken again.  After step 3 the members of a group of copies are one
-   component, so what is left grows with the outsiders of a bucket.
+4. Components of the verified links.  Bucket mates that still are in different
+   components are compared too (all of them, see ``bands.link``).
 """
 
 from __future__ import annotations
@@ -23,12 +20,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import hyperminhash as hm
 from tidemark.llm import shared
 from tidemark.llm import textblock as tb
-from tidemark.llm.bands import bucket_mates, link
+from tidemark.llm.bands import Measure, Sets, bucket_mates, link
 
 WIDTH = 5
 THRESHOLD = 0.75
-#: Sets of this size or more are dropped on their estimate; 128 registers put the margin beyond six standard deviations.
-ESTIMATE_FROM, MARGIN = 128, 0.25
+#: Sets of this size or more are dropped on their estimate; 128 registers put the margin beyond five standard deviations.
+ESTIMATE_FROM, MARGIN = 128, 0.2
 _NO_ID = -(1 << 63)
 
 
@@ -76,37 +73,6 @@ def _hopeful(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "registers_a", "registers_b", "size_a", "size_b").mapInArrow(shared.each_batch(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose shingle sets have the threshold, by the full texts of docs(doc_id, text).  pairs is read twice."""
-    per_mille = round(threshold * 1000)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = shared.checked(shared.materialise(wanted, "wanted"))
-    texts = shared.materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                n = len(batch)
-                # texts 2i and 2i+1 are the pair i
-                turn = np.arange(2 * n).reshape(2, n).T.ravel()
-                column = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(pa.array(turn))
-                inter, size = np.zeros(n, np.int64), np.zeros(2 * n, np.int64)
-                texts, hashes = [], []
-                for block in tb.blocks(column):
-                    text, h = tb.shingles(block, WIDTH)
-                    texts.append(text + block.first)
-                    hashes.append(h)
-                text, h = np.concatenate(texts), np.concatenate(hashes)
-                size = np.bincount(text, minlength=2 * n)
-                inter = tb.intersection_sizes(text, h, n)
-                union = size[0::2] + size[1::2] - inter
-                yield batch.select(["a", "b"]).filter(pa.array((union > 0) & (1000 * inter >= per_mille * union)))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -121,6 +87,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table gives an empty result.  Links are found if a band of registers
     matches: at the threshold with probability above 0.99999.
     """
+    shared.small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = shared.materialise(sketches(rows), "sketches")
     own = sketched.where("n_shingles > 0")
@@ -128,11 +95,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = shared.materialise(classes, "classes")
     mates = bucket_mates(classes.select("node", "registers"), hm.BANDS * classes.count(), _keys)
 
-    def test(pairs: DataFrame, name: str) -> DataFrame:
-        hopeful = shared.materialise(_hopeful(pairs, classes, threshold), f"pairs-{name}")
-        return shared.materialise(_verified(hopeful, rows, threshold).distinct(), f"links-{name}")
+    def fetch(wanted: DataFrame) -> DataFrame:
+        # rows that share a doc_id: each of their texts stands for it
+        return rows.withColumnRenamed("doc_id", "node").join(shared.checked(wanted), "node", "left_semi").distinct()
 
-    found = link(mates, test)
+    sets = Sets(Measure(lambda block: tb.shingles(block, WIDTH), threshold), fetch, lambda pairs: _hopeful(pairs, classes, threshold))
+    found = link(mates, sets)
     named = classes.select("c1", "c2", "node").join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.coalesce("component", "doc_id")

@@ -56,6 +56,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that one Arrow batch may hold; batches of Spark's default size can outgrow a Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Rows of two longs that a broadcast may hold (about 64 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
 

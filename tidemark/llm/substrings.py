@@ -212,6 +212,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"width must be above {PERIOD}")
     spark = docs.sparkSession
     anchor = width - PERIOD + 1
+    shared.small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = shared.materialise(_summaries(rows), "digests")
     total = known.agg(F.sum("n_words").alias("w"), F.sum("n_bytes").alias("b")).first()

@@ -99,6 +99,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     text longer than a shard makes one larger shard.
     """
     spark = docs.sparkSession
+    shared.small_batches(docs.sparkSession)
     folder = folder or shared.scratch(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
