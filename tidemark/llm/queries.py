@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytepair, leaks, lines, neardup, packing, shared, substrings, tokenfiles
+from tidemark.llm import bytepair, chat, leaks, lines, neardup, packing, quality, shared, substrings, tokenfiles, urls
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -24,6 +24,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", F.size("leaks").cast("long").alias("n_items"), items.alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"), (F.size("leaks") == 0).alias("kept"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = bytepair.count_tokens(docs, public_tokenizers.path(VOCABULARY))
@@ -47,6 +52,46 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+#: The rules of the query.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+#: The labelled URLs of the query, by hand: what to block, then what to allow.
+BLOCKED_URLS = """
+http://casino-royal.example.com/en/12 https://www.best-casino.example.net/de/481 http://online-casino.example.org/play https://poker-win.example.com/en/77
+https://m.poker-room.example.net/fr/9 http://sports-bets.example.org/en/2210 https://bets-today.example.com/es/31 http://blog.free-bets-now.example.net/en/5
+https://free-money.example.com/en/64?ref=x http://win-big.example.org/de/800 https://win-prizes.example.net/en/1 http://cheap-watches.example.com/es/72
+https://cheap-meds.example.org/en/9021 http://www.cheap-loans.example.net/fr/18 http://pills-shop.example.com/en/33 https://blog.diet-pills.example.org/en/610
+http://adult-video.example.net/en/414 https://www.adult-dating.example.com/de/52 http://xxx-adult.example.org/es/7 https://spam-mail.example.net/en/100
+http://m.spam-links.example.com/fr/2 https://link-farm.example.org/en/3055 http://content-farm.example.net/de/46 https://ads-server.example.com/en/901
+http://click-ads.example.net/es/15 https://www.ads-banner.example.org/en/27 http://track-user.example.com/en/8 https://pixel-track.example.net/fr/640
+"""
+ALLOWED_URLS = """
+https://www.city-library.example.org/en/12 http://garden.example.com/de/481 https://blog.riverside.example.net/fr/9 http://weather.example.org/en/2210
+https://m.history.example.com/es/31 http://science-news.example.net/en/5 https://recipes.example.com/en/64?ref=x http://museum.example.org/de/800
+https://travel.example.net/en/1 http://blog.astronomy.example.com/es/72 https://math-help.example.org/en/9021 http://www.trains.example.net/fr/18
+http://birds.example.com/en/33 https://blog.chess.example.org/en/610 http://orchestra.example.net/en/414 https://www.university.example.com/de/52
+http://thehill.example.org/es/7 https://stonebridge.example.net/en/100 http://m.northern.example.com/fr/2 https://theatre.example.org/en/3055
+http://oceans.example.net/de/46 https://handwriting.example.com/en/901 http://mountain.example.net/es/15 https://www.anthem.example.org/en/27
+http://nations.example.com/en/8 https://motion.example.net/fr/640 http://edition.example.org/en/75 https://blog.thread.example.com/es/3310
+https://m.other.example.net/en/6 http://ration.example.org/de/19 https://hothouse.example.com/fr/27 http://thorn.example.net/en/4415
+"""
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    rows = [f"('{u}', {label})" for label, listed in ((1, BLOCKED_URLS), (0, ALLOWED_URLS)) for u in listed.split()]
+    return urls.parts(spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label)")).select("host", "path", "label")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, RULES, labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -57,8 +102,12 @@ def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_counts, op4_token_files, op5_best_fit_packing, op6_substring_dedup, op9_fuzzy_line_dedup, op10_hyperminhash_near_dedup)}
+    every = (
+        op1_benchmark_decontamination, op2_quality_rules, op3_token_counts, op4_token_files, op5_best_fit_packing,
+        op6_substring_dedup, op7_url_filters, op8_perspective_rotation, op9_fuzzy_line_dedup, op10_hyperminhash_near_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_perspective_rotation": chat.ORACLE_SQL}
