@@ -47,6 +47,15 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, nodes, centres, many
 
 
+def _mask(width: int) -> np.uint64:
+    return np.uint64((1 << 8 * width) - 1)
+
+
+def _cut(keys: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of keys: (n, width)."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
 def _rows(kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -64,14 +73,16 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
     """
     least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(expected / BUCKET_KEYS))
+    # a bucket has the high bits; of the low ones as many travel as make a chance match rare among this many keys
+    width = min(8, max(4, math.ceil((math.log2(max(expected, 1)) + 16) / 8)))
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, nodes, centres, many = _stars(*map(np.concatenate, zip(*held, strict=True)))
         least = nodes == centres
-        yield _rows(0, _bucket(keys[least], buckets), keys[least], nodes[least])
+        yield _rows(0, _bucket(keys[least], buckets), _cut(keys[least], width), nodes[least])
         if many.any():
             # a hot key's nodes spread over the buckets by the node
-            yield _rows(1, _bucket(tb.mix(nodes[many].view(np.uint64), 0x5B), buckets), keys[many], nodes[many], centres[many])
+            yield _rows(1, _bucket(tb.mix(nodes[many].view(np.uint64), 0x5B), buckets), _cut(keys[many] & _mask(width), 8), nodes[many], centres[many])
 
     def deal(batches):
         held, size = [], 0
@@ -87,8 +98,13 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
-        keys, nodes = read("keys", np.uint64), read("nodes", np.int64)
-        if table.column("kind")[0].as_py() == 1:
+        known = table.column("kind")[0].as_py() == 1
+        nodes = read("nodes", np.int64)
+        raw = read("keys", np.uint8).reshape(len(nodes), -1) if len(nodes) else np.zeros((0, 8), np.uint8)
+        keys = np.zeros((len(nodes), 8), np.uint8)
+        keys[:, : raw.shape[1]] = raw
+        keys = keys.view("<u8").ravel()
+        if known:
             centres = read("centres", np.int64)
         else:
             keys, nodes, centres, many = _stars(keys, nodes)
@@ -146,9 +162,10 @@ def link(mates: DataFrame, sets: Sets) -> DataFrame:
     component or have been compared on their full sets.
     """
     mates = shared.materialise(mates, "mates")
-    pairs = mates.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(pairs, sets)
     nodes = mates.select("key", "node").distinct()
+    texts = shared.materialise(sets.fetch(shared.materialise(mates.select("node").distinct(), "wanted")), "texts")
+    pairs = mates.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = _verified(pairs, sets, texts)
     for turn in range(ROUNDS + 1):
         found = shared.materialise(components(links), "found")
         mixed = _mixed(nodes, found)
@@ -156,21 +173,19 @@ def link(mates: DataFrame, sets: Sets) -> DataFrame:
             return found
         stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
         if turn < ROUNDS:
-            links = stars.union(_verified(_drawn(mixed, turn), sets))
+            links = stars.union(_verified(_drawn(mixed, turn), sets, texts))
             nodes = mixed.select("key", "node")
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "top")
     outsiders = mixed.where("c <> top").select("top", "node", "c").distinct()
     heads = outsiders.groupBy("top").agg(F.count("*").alias("o")).join(sizes, "top", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     large = shared.materialise(heads.where(F.col("o") * (F.col("o") + F.col("n")) > LISTED), "large")
-    listed = _verified(_listed(mixed.join(large, "top", "left_anti")), sets)
-    return components(stars.union(listed).union(_compared(outsiders, found, large, sets)))
+    listed = _verified(_listed(mixed.join(large, "top", "left_anti")), sets, texts)
+    return components(stars.union(listed).union(_compared(outsiders, found, large, sets.measure, texts)))
 
 
-def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
+def _verified(pairs: DataFrame, sets: Sets, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    pairs = shared.materialise(sets.hopeful(pairs), "pairs")
-    wanted = shared.materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-    texts = shared.materialise(sets.fetch(wanted), "texts")
+    pairs = sets.hopeful(pairs)
     side = lambda x, y: texts.select(F.col("node").alias(x), F.col("text").alias(y))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     measure = sets.measure
@@ -191,7 +206,7 @@ def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
     return shared.materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def _compared(outsiders: DataFrame, found: DataFrame, large: DataFrame, sets: Sets) -> DataFrame:
+def _compared(outsiders: DataFrame, found: DataFrame, large: DataFrame, measure: Measure, texts: DataFrame) -> DataFrame:
     """Links of the outsiders of large components with members of those, and with each other; one a node and component in each block.
 
     Blocks of outsiders meet blocks of all, by a hash of the node, so a task
@@ -203,14 +218,12 @@ def _compared(outsiders: DataFrame, found: DataFrame, large: DataFrame, sets: Se
     inside = found.select(F.col("component").alias("top"), "node", F.col("component").alias("c")).join(large, "top")
     alone = large.join(found.select(F.col("component").alias("top")), "top", "left_anti")
     every = out.unionByName(inside).unionByName(alone.select("top", F.col("top").alias("node"), F.col("top").alias("c"), "o", "n"))
-    texts = shared.materialise(sets.fetch(shared.materialise(every.select("node").distinct(), "wanted")), "texts")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     rows, columns = blocks(F.col("o")), blocks(F.col("o") + F.col("n"))
     dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     left = out.select("top", "node", "c", dealt(rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
     right = every.select("top", "node", "c", dealt(columns).alias("j"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"))
 
-    measure = sets.measure
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         n, m = len(a), len(b)
