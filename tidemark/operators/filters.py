@@ -89,7 +89,12 @@ def track(samples: DataFrame, frames: DataFrame, cfg: FilterConfig, unscented: b
             table |= {"smoothed_mean": list(means), "smoothed_cov": [c.ravel() for c in covs]}
         return pd.DataFrame(table)[columns]
 
-    return samples.groupBy(_KEY).cogroup(frames.groupBy(_KEY)).applyInPandas(run, schema)
+    return _together(samples, frames).applyInPandas(run, schema)
+
+
+def _together(left: DataFrame, right: DataFrame):
+    """Both by session; the right side's columns renewed, as both may come from one table."""
+    return left.groupBy(_KEY).cogroup(right.toDF(*right.columns).groupBy(_KEY))
 
 
 def track_3d(samples: DataFrame, frames: DataFrame, offsets: list[list[float]], cfg: FilterConfig) -> DataFrame:
@@ -108,7 +113,7 @@ def track_3d(samples: DataFrame, frames: DataFrame, offsets: list[list[float]],
             "predicted_mean": [e.predicted_mean for e in out], "predicted_cov": [e.predicted_cov.ravel() for e in out], "loglik": [e.loglik for e in out], "vision": [e.vision for e in out],
         })
 
-    return samples.groupBy(_KEY).cogroup(frames.groupBy(_KEY)).applyInPandas(run, ESTIMATES)
+    return _together(samples, frames).applyInPandas(run, ESTIMATES)
 
 
 def orient(samples: DataFrame, cfg: OrientationConfig, frames: DataFrame | None = None) -> DataFrame:
@@ -131,7 +136,7 @@ def orient(samples: DataFrame, cfg: OrientationConfig, frames: DataFrame | None
 
     if frames is None:
         return samples.groupBy(_KEY).applyInPandas(lambda key, s: run(key, s), schema)
-    return samples.groupBy(_KEY).cogroup(frames.groupBy(_KEY)).applyInPandas(run, schema)
+    return _together(samples, frames).applyInPandas(run, schema)
 
 
 def correct_identity(frames: DataFrame, cfg: LedIdentityConfig, led_distance: float | None = None, gyro: DataFrame | None = None) -> DataFrame:
@@ -147,7 +152,7 @@ def correct_identity(frames: DataFrame, cfg: LedIdentityConfig, led_distance: fl
 
     if gyro is None:
         return frames.groupBy(_KEY).applyInPandas(lambda key, f: run(key, f), schema)
-    return frames.groupBy(_KEY).cogroup(gyro.groupBy(_KEY)).applyInPandas(run, schema)
+    return _together(frames, gyro).applyInPandas(run, schema)
 
 
 def nees(mean: str, cov: str, truth: str, heading: int | None = None):
