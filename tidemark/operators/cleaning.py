@@ -47,10 +47,10 @@ def channels(mode: str) -> tuple[str, ...]:
     return CHANNELS.get(mode, SIX)
 
 
-def rebase(streams: list[DataFrame], by: str = "session_id", t: str = "t", offsets: list[float] | None = None) -> list[DataFrame]:
-    """Streams on one clock that starts, in each session, at the earlier of their first stamps; then their own offsets."""
+def rebase(streams: list[DataFrame], by: str = "session_id", t: str = "t", offsets: list[float] | None = None, leading: int | None = None) -> list[DataFrame]:
+    """Streams on one clock that starts, in each session, at the earliest first stamp of the ``leading`` ones (default all); then their own offsets."""
     firsts = None
-    for s in streams:
+    for s in streams[:leading]:
         one = s.groupBy(by).agg(F.min(t).alias("__first"))
         firsts = one if firsts is None else firsts.unionByName(one)
     start = firsts.groupBy(by).agg(F.min("__first").alias("__start"))

@@ -12,6 +12,7 @@ from tidemark.operators import calculus, cleaning, filters, geometry, qa, tempor
 from tidemark.plans.config import FilterConfig, ImuColumns, LedIdentityConfig, OrientationConfig, SafetyLimits
 from tidemark.sources import events as ev
 from tidemark.sources import simulate
+from tidemark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -479,23 +480,26 @@ def _quaternions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUAT = "WITH e AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings), n AS (SELECT *, sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3) AS s FROM e), q AS (SELECT *, e0 / s AS w, e1 / s AS x, e2 / s AS y, e3 / s AS z FROM n)"
-_Q = tuple(F.col(c) for c in "wxyz")
+
+
+def _q() -> tuple[Column, Column, Column, Column]:
+    return tuple(F.col(c) for c in "wxyz")
 
 
 @query(QUAT + " SELECT vec_id, round(w * e4 - x * e5 - y * e6 - z * e7, 6) + 0.0 AS pw, round(w * e5 + e4 * x + y * e7 - z * e6, 6) + 0.0 AS px, round(w * e6 + e4 * y + z * e5 - x * e7, 6) + 0.0 AS py, round(w * e7 + e4 * z + x * e6 - y * e5, 6) + 0.0 AS pz FROM q")
 def quaternion_multiply(spark, d):
-    p = geometry.multiply(_Q, tuple(F.col(f"e{i}") for i in range(4, 8)))
+    p = geometry.multiply(_q(), tuple(F.col(f"e{i}") for i in range(4, 8)))
     return _quaternions(spark, d).select("vec_id", *(r(c).alias(n) for c, n in zip(p, ("pw", "px", "py", "pz"), strict=True)))
 
 
 @query(QUAT + " SELECT vec_id, round(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), 6) + 0.0 AS roll, round(asin(greatest(-1, least(1, 2 * (w * y - z * x)))), 6) + 0.0 AS pitch, round(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)), 6) + 0.0 AS yaw FROM q")
 def quaternion_to_rpy(spark, d):
-    return _quaternions(spark, d).select("vec_id", *(r(c).alias(n) for c, n in zip(geometry.euler(_Q), ("roll", "pitch", "yaw"), strict=True)))
+    return _quaternions(spark, d).select("vec_id", *(r(c).alias(n) for c, n in zip(geometry.euler(_q()), ("roll", "pitch", "yaw"), strict=True)))
 
 
 @query(QUAT + " SELECT vec_id, round((1 - 2 * (y * y + z * z)) * e4 + 2 * (x * y - w * z) * e5 + 2 * (x * z + w * y) * e6, 6) + 0.0 AS vx, round(2 * (x * y + w * z) * e4 + (1 - 2 * (x * x + z * z)) * e5 + 2 * (y * z - w * x) * e6, 6) + 0.0 AS vy, round(2 * (x * z - w * y) * e4 + 2 * (y * z + w * x) * e5 + (1 - 2 * (x * x + y * y)) * e6, 6) + 0.0 AS vz FROM q")
 def rotate_vector(spark, d):
-    v = geometry.rotate(_Q, tuple(F.col(f"e{i}") for i in range(4, 7)))
+    v = geometry.rotate(_q(), tuple(F.col(f"e{i}") for i in range(4, 7)))
     return _quaternions(spark, d).select("vec_id", *(r(c).alias(n) for c, n in zip(v, ("vx", "vy", "vz"), strict=True)))
 
 
@@ -700,3 +704,31 @@ def orientation_filter(spark, d):
 def simulate_rat(spark, d):
     samples, _ = simulate.rat(spark, SESSIONS, SECONDS)
     return samples
+
+
+# streams, over the whole events table as it is now
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return streams.event_stream(spark, f"{d}/events.parquet")
+
+
+@query(_kalman_sql(_FRAMES_Z) + " SELECT session_id, event_id, " + q("x v", 4) + " FROM rec")
+def stream_kalman_cv(spark, d):
+    """The constant-velocity filter as a stateful stream; equals the batch filter."""
+    e = _events(spark, d).where("event_type = 'view'")
+    t = (F.unix_micros("ts") - F.lit(ev.EPOCH_US)) / F.lit(3.6e9)
+    out = streams.drain(streams.stream_kalman(e.select(F.col("user_id").alias("session_id"), "event_id", t.alias("t"), F.col("value").alias("z")), filters.LinearKalman()), "kalman")
+    return rounded(out.select("session_id", "event_id", "x", "v"), "x", "v", digits=4)
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total, max(value) AS largest FROM events GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    """Tumbling days with a watermark."""
+    out = streams.drain(streams.windowed_counts(_events(spark, d)), "windows", "complete")
+    return out.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", r("total", 4).alias("total"), "largest")
+
+
+@query("WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM l) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 12 HOUR) AS end_us, count(*) AS n FROM s GROUP BY user_id, i")
+def stream_session_window(spark, d):
+    out = streams.drain(streams.session_windows(_events(spark, d)), "sessions", "complete")
+    return out.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
