@@ -1,15 +1,12 @@
 """Intermediate tables and files in the folder that all executors share.
 
-``spark.checkpoint.dir`` names the folder.  Only where it is unset (tests, a
-laptop) a folder of this process is used instead.  Written tables cut lineage
-and survive lost executors; they go when the driver ends.
+Written tables cut lineage and survive lost executors; they go when the
+driver ends (see ``tidemark.sources.storage``).
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,34 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        _own["dir"] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return _own["dir"]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone by now; the folder belongs to the run and goes with it
-            pass
-
-    atexit.register(remove)
-    return path
+from tidemark.sources.storage import scratch
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
