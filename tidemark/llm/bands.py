@@ -122,7 +122,7 @@ LISTED, BLOCK = 2000, 512
 
 @dataclass(frozen=True)
 class Measure:
-    """members(block) gives (text, hash) of each text's distinct members; sets are similar from the Jaccard threshold."""
+    """members(block) gives (text, hash) of each text's members, by text; sets are similar from the Jaccard threshold."""
 
     members: Callable[[tb.Block], tuple[np.ndarray, np.ndarray]]
     threshold: float
@@ -136,18 +136,17 @@ class Measure:
             hashes.append(h)
         return np.concatenate(texts), np.concatenate(hashes)
 
-    def similar(self, inter: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-        union = size_a + size_b - inter
+    def similar(self, inter: np.ndarray, union: np.ndarray) -> np.ndarray:
         return (union > 0) & (1000 * inter >= round(1000 * self.threshold) * union)
 
 
 @dataclass(frozen=True)
 class Sets:
-    """The sets behind nodes: fetch(nodes(node)) gives (node, text); hopeful(pairs(a, b)) may drop pairs that can't be links."""
+    """The sets behind nodes: fetch(nodes(node)) gives (node, text, ...); hopeful(pairs(a, b), texts) may drop pairs that can't be links."""
 
     measure: Measure
     fetch: Callable[[DataFrame], DataFrame]
-    hopeful: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+    hopeful: Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def link(mates: DataFrame, sets: Sets) -> DataFrame:
@@ -185,7 +184,7 @@ def link(mates: DataFrame, sets: Sets) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: Sets, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    pairs = sets.hopeful(pairs)
+    pairs = sets.hopeful(pairs, texts)
     side = lambda x, y: texts.select(F.col("node").alias(x), F.col("text").alias(y))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     measure = sets.measure
@@ -198,9 +197,7 @@ def _verified(pairs: DataFrame, sets: Sets, texts: DataFrame) -> DataFrame:
                 # texts 2i and 2i+1 are the pair i
                 turn = np.arange(2 * n).reshape(2, n).T.ravel()
                 column = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(pa.array(turn))
-                text, h = measure.listing(column)
-                size = np.bincount(text, minlength=2 * n)
-                keep = measure.similar(tb.intersection_sizes(text, h, n), size[0::2], size[1::2])
+                keep = measure.similar(*tb.pair_overlaps(*measure.listing(column), n))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return shared.materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")
@@ -228,6 +225,8 @@ def _compared(outsiders: DataFrame, found: DataFrame, large: DataFrame, measure:
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         n, m = len(a), len(b)
         (ta, ha), (tb_, hb) = measure.listing(a.column("text")), measure.listing(b.column("text"))
+        # sets: a repeated member counts once
+        (ta, ha), (tb_, hb) = ((t[f], x[f]) for t, x in ((ta, ha), (tb_, hb)) for f in [tb.firsts(x ^ tb.mix(t.astype(np.uint64), 0x7E))])
         size_a, size_b = np.bincount(ta, minlength=n), np.bincount(tb_, minlength=m)
         common = np.intersect1d(ha, hb)
         inter = np.zeros((n, m), np.float32)
@@ -246,13 +245,14 @@ def _compared(outsiders: DataFrame, found: DataFrame, large: DataFrame, measure:
                 dense.append(part)
             inter += dense[0] @ dense[1].T
         node_a, node_b, ca, cb = (np.asarray(x) for x in (a.column("node"), b.column("node"), a.column("c"), b.column("c")))
-        hit = measure.similar(inter.astype(np.int64), size_a[:, None], size_b[None, :]) & (ca[:, None] != cb[None, :])
+        whole = inter.astype(np.int64)
+        hit = measure.similar(whole, size_a[:, None] + size_b[None, :] - whole) & (ca[:, None] != cb[None, :])
         x, y = np.nonzero(hit)
         _, first = np.unique(np.stack([x, cb[y]], 1), axis=0, return_index=True)
         return pa.table({"a": node_a[x[first]], "b": node_b[y[first]]})
 
     names = ["node", "top", "c", "i", "j", "text"]
-    sides = [f.join(texts, "node").select(*names).toDF(*names).groupBy("top", "i", "j") for f in (left, right)]
+    sides = [f.join(texts.select("node", "text"), "node").select(*names).toDF(*names).groupBy("top", "i", "j") for f in (left, right)]
     return shared.materialise(sides[0].cogroup(sides[1]).applyInArrow(compare, "a long, b long"), "block-links")
 
 

@@ -49,13 +49,7 @@ def sketch(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
         np.minimum.at(least, base | bucket, x << np.uint64(_BUCKET_BITS))
         least = least.reshape(n, BUCKETS)
         empty = least == _EMPTY
-        full = least.copy()
-        for k in range(BUCKETS):
-            todo = full == _EMPTY
-            if not todo.any():
-                break
-            full = np.where(todo, least[:, _ORDER[p][:, k]], full)
-        codes = _codes(full)
+        codes = _codes(tb.densify(least, _EMPTY, _ORDER[p]))
         codes[empty.all(axis=1)] = 0xFFFF
         out[:, p * BUCKETS : (p + 1) * BUCKETS] = codes
     return out

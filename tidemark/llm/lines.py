@@ -72,14 +72,14 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     least = np.full(n * BUCKETS, _FULL)
     part = (h >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)
     np.minimum.at(least, owner * BUCKETS + part.astype(np.int64), tb.mix(h, 0x6B))
-    least = least.reshape(n, BUCKETS)
-    full = least.copy()
-    for k in range(BUCKETS):
-        todo = full == _FULL
-        if not todo.any():
-            break
-        full = np.where(todo, least[:, _ORDER[:, k]], full)
-    return full
+    return tb.densify(least.reshape(n, BUCKETS), _FULL, _ORDER)
+
+
+def sketches(minima: np.ndarray) -> np.ndarray:
+    """(n, 2) words: a bit of each minimum; equal sets agree in all, unlike ones in half of them."""
+    bits = np.zeros((len(minima), 128), np.uint8)
+    bits[:, :BUCKETS] = tb.mix(minima, 0x77) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.uint64).reshape(-1, 2)
 
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
@@ -116,27 +116,48 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted lines; each once a block at most."""
+    """node, text, s1 and s2 (the sketch) of wanted(node, id, version, line): the line at that place."""
+
+    def every(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, number, node, text = [], [], [], []
+        for block in tb.blocks(batch.column(2)):
+            lines = Lines(block)
+            raw = lines.buf.tobytes()
+            row.append(lines.text + block.first)
+            number.append(lines.number)
+            node.append(lines.node)
+            text += [raw[a:b] for a, b in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
+        row, number, node = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (row, number, node))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number), pa.array(node), pa.array(text, pa.binary()).cast(pa.string())], names=["id", "version", "line", "node", "text"])
+
+    def with_sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = len(batch)
+        words = np.zeros((n, 2), np.uint64)
+        for block in tb.blocks(batch.column(1)):
+            lines = Lines(block)
+            owner, h = lines.shingles(np.arange(len(lines.start)))
+            words[block.first + lines.text] = sketches(signatures(owner, h, len(lines.start)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tb.signed(words[:, 0].copy())), pa.array(tb.signed(words[:, 1].copy()))], names=["node", "text", "s1", "s2"])
 
-    def run(batches):
-        for batch in batches:
-            for block in tb.blocks(batch.column(0)):
-                lines = Lines(block)
-                use = tb.firsts(lines.node.view(np.uint64))
-                raw = lines.buf.tobytes()
-                found = [raw[a:b] for a, b in zip(lines.start[use].tolist(), lines.end[use].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.node[use]), pa.array(found, pa.binary()).cast(pa.string())], names=["node", "text"])
+    found = rows.mapInArrow(shared.each_batch(every), "id long, version long, line long, node long, text string")
+    # rows of one doc_id and text are one document: their lines are the same
+    found = found.join(wanted, ["node", "id", "version", "line"], "left_semi").select("node", "text")
+    return found.mapInArrow(shared.each_batch(with_sketch), "node long, text string, s1 long, s2 long")
 
-    every = rows.select("text").mapInArrow(run, "node long, text string")
-    return every.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+def _hopeful(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose sketches agree in as many bits as the threshold makes likely, less five standard deviations."""
+    agree = (1 + threshold) / 2
+    least = BUCKETS * agree - 5 * (BUCKETS * agree * (1 - agree)) ** 0.5
+    side = lambda x: texts.select(F.col("node").alias(x), *(F.col(s).alias(f"{s}{x}") for s in ("s1", "s2")))
+    differ = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= BUCKETS - least).select("a", "b")
 
 
 def _members(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
     lines = Lines(block)
     owner, h = lines.shingles(np.arange(len(lines.start)))
-    text = lines.text[owner]
-    first = tb.firsts(h ^ tb.mix(text.astype(np.uint64), 0x7E))
-    return text[first], h[first]
+    return lines.text[owner], h
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str, str] = ("n_lines", "n_removed", "removed_lines")) -> DataFrame:
@@ -161,15 +182,23 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str
     rows = docs.select(*identity, F.col("text").cast("string").alias("text"))
     lines = shared.materialise(_occurrences(rows), "lines")
     mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys)
-    found = link(mates, Sets(Measure(_members, threshold), lambda wanted: _texts(rows, shared.checked(wanted))))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        first = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "version", "line")).alias("at")).select("node", "at.*")
+        return _texts(rows, shared.checked(shared.materialise(first, "places")))
+
+    found = link(mates, Sets(Measure(_members, threshold), fetch, lambda pairs, texts: _hopeful(pairs, texts, threshold)))
     placed = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct("id", "version", "line")
     # the least place of a component, summed up before it is dealt out
     first = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("component", "first")
     gone = placed.join(first, "component").where(place != F.col("first")).select("id", "version", "line").distinct()
+    gone = shared.materialise(gone, "gone")
+    few = gone.count() <= shared.BROADCAST_ROWS
     gone = gone.groupBy("id", "version").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     joined = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(identity, ("id", "version"), strict=True)))
-    joined = joined.join(gone.select(F.col("id").alias("__id"), F.col("version").alias("__version"), "__gone"), ["__id", "__version"], "left").drop("__id", "__version")
+    gone = gone.select(F.col("id").alias("__id"), F.col("version").alias("__version"), "__gone")
+    joined = joined.join(F.broadcast(gone) if few else gone, ["__id", "__version"], "left").drop("__id", "__version")
     at = {c: i for i, c in enumerate(names)}
     schema = docs.withColumns({counts[0]: F.lit(0).cast("long"), counts[1]: F.lit(0).cast("long"), counts[2]: F.array().cast("array<bigint>")}).schema
 

@@ -177,15 +177,32 @@ def firsts(keys: np.ndarray) -> np.ndarray:
     return np.sort(order[fresh])
 
 
-def intersection_sizes(text: np.ndarray, h: np.ndarray, pairs: int) -> np.ndarray:
-    """Of sets 2i and 2i+1 of a (text, hash) listing: the size of their intersection."""
+def pair_overlaps(text: np.ndarray, h: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the members (repeats allowed) of texts 2i and 2i+1: sizes of intersection and union, for each i."""
+    if not len(h):
+        return np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
     pair = text >> 1
-    order = np.lexsort((h, pair))
-    pair, h = pair[order], h[order]
-    same = np.zeros(len(h), bool)
-    if len(h):
-        same[1:] = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
-    return np.bincount(pair[same], minlength=pairs)
+    keys = h ^ mix(pair.astype(_U), 0x35)
+    order = np.argsort(keys)
+    keys = keys[order]
+    fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sides = np.bitwise_or.reduceat(np.left_shift(1, text[order] & 1).astype(np.uint8), fresh)
+    owner = pair[order[fresh]]
+    return np.bincount(owner[sides == 3], minlength=pairs), np.bincount(owner, minlength=pairs)
+
+
+def densify(least: np.ndarray, empty: np.uint64, order: np.ndarray) -> np.ndarray:
+    """A copy of (n, buckets) in which an empty bucket has the value of the first that isn't, in its row of order."""
+    full = least.copy()
+    row, column = np.nonzero(least == empty)
+    for k in range(order.shape[1]):
+        if not len(row):
+            break
+        found = least[row, order[column, k]]
+        good = found != empty
+        full[row[good], column[good]] = found[good]
+        row, column = row[~good], column[~good]
+    return full
 
 
 def fixed_binary(matrix: np.ndarray) -> pa.Array:
