@@ -24,8 +24,9 @@ THRESHOLD = -0.3
 MOST_TRUSTED = 20_000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
 
-_BLANKS = " \t\n\x0b\x0c\r"
-_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+_BLANK, _SOLID = r"[\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: Runs of signs, set apart by blanks; other white space becomes blanks too.  A split at single blanks needs no pattern.
+_APART = rf"([^\p{{L}}\p{{N}}_\s]+)|{_BLANK}"
 
 
 def _next(a: Column, step: int, length: Column) -> Column:
@@ -42,13 +43,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.withColumn("__t", text)
-    df = df.withColumn("__w", F.filter(F.split("__t", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-    lines = F.filter(F.split("__t", "\n", -1), lambda line: F.translate(line, _BLANKS, "") != "")
+    df = df.withColumn("__w", F.array_remove(F.split(F.regexp_replace("__t", _BLANK, " "), " ", -1), ""))
+    lines = F.filter(F.split("__t", "\n", -1), lambda line: line.rlike(_SOLID))
     df = df.withColumn("__l", lines)
     df = df.withColumns({
         "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.translate("__t", _BLANKS, "")).cast("long"),
-        "n_symbols": (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "__h": F.transform("__w", lambda w: F.xxhash64(w)),
     }).drop("__w", "__l", "__t")
@@ -74,12 +75,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def _with_grams(df: DataFrame) -> DataFrame:
-    """df(text, ...) with __g: the buckets of the text's unigrams and bigrams."""
-    df = df.withColumn("__k", F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(_TOKENS), F.lit(0)))
+    """df(text, ...) with __g: hashes of the text's unigrams and bigrams."""
+    apart = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), _APART, " $1 ")
+    df = df.withColumn("__k", F.array_remove(F.split(apart, " ", -1), ""))
     df = df.withColumn("__u", F.transform("__k", lambda t: F.xxhash64(t))).drop("__k")
-    two = F.zip_with(F.slice("__u", 1, F.greatest(F.lit(0), F.size("__u") - 1)), F.slice("__u", 2, F.greatest(F.lit(0), F.size("__u") - 1)), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn("__b", F.concat(F.col("__u"), two)).drop("__u")
-    return df.withColumn("__g", F.transform("__b", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))).drop("__b")
+    return df.withColumn("__g", F.concat(F.col("__u"), _next(F.col("__u"), 1, F.size("__u") - 1))).drop("__u")
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
@@ -97,7 +101,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> str:
     chosen = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted")))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__id"), "left")
     grams = _with_grams(joined.select("text", F.coalesce("__trusted", F.lit(0)).alias("trusted")))
-    counts = grams.select(F.explode("__g").alias("bucket"), "trusted").groupBy("bucket").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
+    counts = grams.select(F.explode("__g").alias("h"), "trusted").groupBy(_bucket(F.col("h")).alias("bucket")).agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
     spark = docs.sparkSession
     every = spark.range(0, BUCKETS, 1, 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     found = every.agg(F.sum("r").alias("R"), F.sum("t").alias("T"), F.array_sort(F.collect_list(F.struct("bucket", "r", "t"))).alias("rows")).first()
@@ -124,6 +128,6 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
     ratios = F.from_json(F.lit(log_ratios(docs, trusted_ids(labels))), "array<double>")
     df = _with_grams(base_counts(docs))
-    total = F.aggregate("__g", F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
+    total = F.aggregate("__g", F.lit(0.0), lambda acc, h: acc + F.get(ratios, _bucket(h)))
     df = df.withColumn("score", F.when(F.size("__g") > 0, F.round(total / F.size("__g"), 9))).drop("__g")
     return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True)))
