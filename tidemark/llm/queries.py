@@ -109,5 +109,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+SUBSTRINGS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
+h AS (SELECT doc_id, i, list_aggregate(list_slice(words, i, i + 19), 'string_agg', ' ') AS win FROM g),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM h),
+gone AS (SELECT doc_id, list_distinct(list(j)) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE n > 1) GROUP BY 1),
+k AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed, list_filter(words, lambda x, p: NOT list_contains(coalesce(gone, []), p)) AS kept FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256 FROM k
+"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(list_slice(words, i, i + 4), 'string_agg', ' ') AS sh FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+c AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.other = e.a),
+m AS (SELECT doc_id, min(other) AS other FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.other, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.other, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_perspective_rotation": chat.ORACLE_SQL}
+    """Where SQL can say it; the other operators are tested against plain versions."""
+    return {"op6_substring_dedup": SUBSTRINGS_SQL, "op8_perspective_rotation": chat.ORACLE_SQL, "op10_hyperminhash_near_dedup": NEAR_SQL}
