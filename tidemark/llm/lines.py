@@ -3,8 +3,8 @@
 A line (between line feeds, ASCII white space off its ends, A-Z lower-cased)
 has as its set the runs of WIDTH characters in it.  Its signature has one
 minimum for each of BUCKETS parts of the hash space, empty parts filled from
-others; bands of ROWS minima make candidate pairs, exact Jaccard similarity
-confirms them, and of each component of links the first line in the corpus, by
+others; bands of ROWS minima, and a sketch of a bit of 32 minima, make
+candidate pairs, exact Jaccard similarity confirms them, and of each component of links the first line in the corpus, by
 (doc_id, line), is kept.
 """
 
@@ -31,6 +31,7 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ORDER = np.argsort(tb.seeds(BUCKETS * BUCKETS, 0x1D).reshape(BUCKETS, BUCKETS), axis=1)
 _BAND_SEEDS = tb.seeds(BANDS, 0x2E)
 _NO_ID = -(1 << 63)
+_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]*")
 
 
@@ -57,14 +58,22 @@ class Lines:
         """(index in use, hash) of the characters' runs of the lines ``use``; a shorter line is one run."""
         lead = np.flatnonzero((self.buf & 0xC0) != 0x80)
         a, b = np.searchsorted(lead, self.start[use]), np.searchsorted(lead, self.end[use])
-        lead = np.concatenate([lead, np.full(WIDTH, len(self.buf))])
-        size = np.maximum(b - a - WIDTH + 1, 1)
+        long = b - a >= WIDTH
+        h = np.zeros(0, np.uint64)
+        if long.any():
+            # of the whole block, then those that lie in one line
+            h = tb.runs(self.sums, np.append(lead, len(self.buf)), WIDTH)
+        size = np.where(long, b - a - WIDTH + 1, 0)
         owner = np.repeat(np.arange(len(use)), size)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + a[owner]
-        until = lead[np.minimum(at + WIDTH, b[owner])]
-        # a line's last character ends where the line does
-        ends = np.where(at + WIDTH >= b[owner], self.end[use][owner], until)
-        return owner, tb.span(self.sums, lead[at], ends)
+        at = np.arange(len(owner)) + np.repeat(a - (np.cumsum(size) - size), size)
+        h = h[at]
+        if not long.all():
+            few = np.flatnonzero(~long)
+            owner = np.concatenate([owner, few])
+            h = np.concatenate([h, tb.span(self.sums, self.start[use][few], self.end[use][few])])
+            order = np.argsort(owner, kind="stable")
+            owner, h = owner[order], h[order]
+        return owner, h
 
 
 def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -76,10 +85,15 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(minima: np.ndarray) -> np.ndarray:
-    """(n, 2) words: a bit of each minimum; equal sets agree in all, unlike ones in half of them."""
-    bits = np.zeros((len(minima), 128), np.uint8)
-    bits[:, :BUCKETS] = tb.mix(minima, 0x77) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.uint64).reshape(-1, 2)
+    """32 bits, one of each of as many minima: those of equal sets agree, those of unlike ones in half of the bits."""
+    bits = (tb.mix(minima[:, :32], 0x77) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.uint32).ravel()
+
+
+def most_differences(threshold: float) -> int:
+    """Bits in which sketches of a pair at the threshold may differ: expected ones and four standard deviations."""
+    p = (1 - threshold) / 2
+    return min(32, int(32 * p + 4 * (32 * p * (1 - p)) ** 0.5))
 
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
@@ -97,8 +111,8 @@ def _keys(batch: pa.RecordBatch):
         use = tb.firsts(lines.node.view(np.uint64))
         for at in range(0, len(use), 2000):
             few = use[at : at + 2000]
-            owner, h = lines.shingles(few)
-            yield band_keys(signatures(owner, h, len(few))).ravel(), np.repeat(lines.node[few], BANDS)
+            minima = signatures(*lines.shingles(few), len(few))
+            yield band_keys(minima).ravel(), np.repeat(lines.node[few], BANDS), np.repeat(sketches(minima), BANDS)
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -115,43 +129,23 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(shared.each_batch(run), "id long, version long, line long, node long")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text, s1 and s2 (the sketch) of wanted(node, id, version, line): the line at that place."""
-
-    def every(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, number, node, text = [], [], [], []
-        for block in tb.blocks(batch.column(2)):
-            lines = Lines(block)
-            raw = lines.buf.tobytes()
-            row.append(lines.text + block.first)
-            number.append(lines.number)
-            node.append(lines.node)
-            text += [raw[a:b] for a, b in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
-        row, number, node = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (row, number, node))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number), pa.array(node), pa.array(text, pa.binary()).cast(pa.string())], names=["id", "version", "line", "node", "text"])
-
-    def with_sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = len(batch)
-        words = np.zeros((n, 2), np.uint64)
-        for block in tb.blocks(batch.column(1)):
-            lines = Lines(block)
-            owner, h = lines.shingles(np.arange(len(lines.start)))
-            words[block.first + lines.text] = sketches(signatures(owner, h, len(lines.start)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tb.signed(words[:, 0].copy())), pa.array(tb.signed(words[:, 1].copy()))], names=["node", "text", "s1", "s2"])
-
-    found = rows.mapInArrow(shared.each_batch(every), "id long, version long, line long, node long, text string")
-    # rows of one doc_id and text are one document: their lines are the same
-    found = found.join(wanted, ["node", "id", "version", "line"], "left_semi").select("node", "text")
-    return found.mapInArrow(shared.each_batch(with_sketch), "node long, text string, s1 long, s2 long")
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """node, text of places(node, id, version, line), the text as it is compared."""
+    asked = places.groupBy("id", "version").agg(F.collect_list(F.struct("line", "node")).alias("asked"))
 
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, text = [], []
+        for whole, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = whole.split("\n")
+            for w in wanted:
+                node.append(w["node"])
+                text.append(own[w["line"]].strip(" \t\x0b\x0c\r").translate(_TO_LOWER))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], names=["node", "text"])
 
-def _hopeful(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sketches agree in as many bits as the threshold makes likely, less five standard deviations."""
-    agree = (1 + threshold) / 2
-    least = BUCKETS * agree - 5 * (BUCKETS * agree * (1 - agree)) ** 0.5
-    side = lambda x: texts.select(F.col("node").alias(x), *(F.col(s).alias(f"{s}{x}") for s in ("s1", "s2")))
-    differ = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= BUCKETS - least).select("a", "b")
+    # a document has its lines' places once, so few rows of places mean few documents
+    small = places.count() <= shared.BROADCAST_ROWS
+    found = docs.join(F.broadcast(asked) if small else asked, ["id", "version"])
+    return found.select("text", "asked").mapInArrow(shared.each_batch(pick), "node long, text string")
 
 
 def _members(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +175,13 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version")]
     rows = docs.select(*identity, F.col("text").cast("string").alias("text"))
     lines = shared.materialise(_occurrences(rows), "lines")
-    mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys)
+    mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys, most_differences(threshold))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         first = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "version", "line")).alias("at")).select("node", "at.*")
-        return _texts(rows, shared.checked(shared.materialise(first, "places")))
+        return _texts(rows, shared.materialise(first, "places"))
 
-    found = link(mates, Sets(Measure(_members, threshold), fetch, lambda pairs, texts: _hopeful(pairs, texts, threshold)))
+    found = link(mates, Sets(Measure(_members, threshold), fetch))
     placed = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct("id", "version", "line")
     # the least place of a component, summed up before it is dealt out
