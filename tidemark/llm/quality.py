@@ -29,10 +29,15 @@ _BLANK, _SOLID = r"[\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _APART = rf"([^\p{{L}}\p{{N}}_\s]+)|{_BLANK}"
 
 
-def _next(a: Column, step: int, length: Column) -> Column:
-    """Hashes of twice the length from a's elements and those ``step`` further on."""
-    n = F.greatest(F.lit(0), length)
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.xxhash64(x, y))
+def _pairs(name: str, step: int) -> Column:
+    """Hashes of runs of twice the length, from each of the column's hashes and the one ``step`` further on; null at the end.
+
+    The words' hashes are random already, so a shift and an exclusive or keep
+    runs apart, and cost less than hashing again.  The array is an argument
+    twice and never named in the lambda, where it would be made for each element.
+    """
+    ahead = F.slice(name, step + 1, F.greatest(F.lit(0), F.size(name) - step))
+    return F.zip_with(F.col(name), ahead, lambda x, y: F.shiftleft(x, step).bitwiseXOR(y))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -54,11 +59,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "__h": F.transform("__w", lambda w: F.xxhash64(w)),
     }).drop("__w", "__l", "__t")
     n = F.col("n_words").cast("int")
-    # hashes of 2, 4 and 8 words from halves
-    for step in (1, 2, 4):
-        df = df.withColumn("__h", _next(F.col("__h"), step, n - (2 * step - 1)))
-    # most texts have no window twice and are done here
-    df = df.withColumn("__h", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.col("__h")).otherwise(F.array().cast("array<bigint>")))
+    # hashes of 2, 4 and 8 words from halves; most texts have no 4 words twice, or no 8, and are done there
+    nothing = F.array().cast("array<bigint>")
+    df = df.withColumn("__h", _pairs("__h", 1))
+    df = df.withColumn("__h", _pairs("__h", 2))
+    for width in (4, 8):
+        left = F.greatest(F.lit(0), n - (width - 1))
+        df = df.withColumn("__h", F.slice("__h", 1, left))
+        df = df.withColumn("__h", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.col("__h")).otherwise(nothing))
+        if width == 4:
+            df = df.withColumn("__h", _pairs("__h", 4))
     df = df.withColumn("__s", F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).drop("__h")
     pairs = F.greatest(F.lit(0), F.size("__s") - 1)
     df = df.withColumn("__e", F.zip_with(F.slice("__s", 1, pairs), F.slice("__s", 2, pairs), lambda a, b: a["h"] == b["h"]))
@@ -79,7 +89,7 @@ def _with_grams(df: DataFrame) -> DataFrame:
     apart = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), _APART, " $1 ")
     df = df.withColumn("__k", F.array_remove(F.split(apart, " ", -1), ""))
     df = df.withColumn("__u", F.transform("__k", lambda t: F.xxhash64(t))).drop("__k")
-    return df.withColumn("__g", F.concat(F.col("__u"), _next(F.col("__u"), 1, F.size("__u") - 1))).drop("__u")
+    return df.withColumn("__g", F.concat(F.col("__u"), F.slice(_pairs("__u", 1), 1, F.greatest(F.lit(0), F.size("__u") - 1)))).drop("__u")
 
 
 def _bucket(h: Column) -> Column:
@@ -101,7 +111,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> str:
     chosen = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted")))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__id"), "left")
     grams = _with_grams(joined.select("text", F.coalesce("__trusted", F.lit(0)).alias("trusted")))
-    counts = grams.select(F.explode("__g").alias("h"), "trusted").groupBy(_bucket(F.col("h")).alias("bucket")).agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
+    # outer: from a plain explode Spark infers a filter on the array's size and makes the array again for it, at the scan
+    counts = grams.select(F.explode_outer("__g").alias("h"), "trusted").where("h is not null").groupBy(_bucket(F.col("h")).alias("bucket")).agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
     spark = docs.sparkSession
     every = spark.range(0, BUCKETS, 1, 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     found = every.agg(F.sum("r").alias("R"), F.sum("t").alias("T"), F.array_sort(F.collect_list(F.struct("bucket", "r", "t"))).alias("rows")).first()
