@@ -109,7 +109,7 @@ def grams(text):
     import regex
 
     tokens = [xx(t.encode()) for t in regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0d]+", (text or "").lower())]
-    return [h % quality.BUCKETS for h in [*tokens, *(xx(b, xx(a)) for a, b in zip(tokens, tokens[1:], strict=False))]]
+    return [h % quality.BUCKETS for h in [*tokens, *((a << 1 & (1 << 64) - 1) ^ (b & (1 << 64) - 1) for a, b in zip(tokens, tokens[1:], strict=False))]]
 
 
 def test_quality_query(spark, docs):
