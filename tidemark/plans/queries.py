@@ -46,7 +46,7 @@ def q(names: str, digits: int = 6) -> str:
 
 # sources and cleaning
 
-@query(BASE + f"SELECT session_id, event_id, round(value * {0.061 * 0.017453292519943295!r}, 9) + 0.0 AS gz, round(-k * {0.000061 * 9.80665!r}, 9) + 0.0 AS ax FROM samples")
+@query(BASE + f"SELECT session_id, event_id, round(value * CAST({0.061 * 0.017453292519943295!r} AS DOUBLE), 9) + 0.0 AS gz, round(-k * CAST({0.000061 * 9.80665!r} AS DOUBLE), 9) + 0.0 AS ax FROM samples")
 def scan_project_si(spark, d):
     """Unit conversion: raw counts by sign and scale."""
     raw = ev.samples(spark, d).select("session_id", "event_id", F.col("value").alias("z"), F.col("k").alias("a"), F.lit(0).alias("o"))
