@@ -332,10 +332,12 @@ def test_near_duplicates_on_awkward_rows(spark, awkward, nothing):
     assert got == [(0, 0, True), (0, 0, True), (3, 0, False), (3, 0, False), (4, 4, True), (4, 4, True)]
 
 
-def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
+@pytest.mark.parametrize("work", [0, 20_000_000])
+def test_near_duplicates_in_a_hot_group(spark, monkeypatch, work):
     """Copies of one text with edits around the threshold, some linked to few others: blocks compare them all."""
     from tidemark.llm import bands
 
+    monkeypatch.setattr(bands, "WORK", work)
     monkeypatch.setattr(bands, "LISTED", 50)
     monkeypatch.setattr(bands, "BLOCK", 64)
     rng = random.Random(4)
@@ -350,7 +352,9 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
     assert out == brute.near_components(values)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [-1, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)] + [(500, i) for i in range(501, 700)] + [(7, 7), (None, 3)]
     groups = brute.Union()

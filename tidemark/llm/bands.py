@@ -144,8 +144,8 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
     return source.mapInArrow(deal, _PACKED).groupBy("kind", "bucket").applyInArrow(meet, _MATES)
 
 
-#: Rounds of tests against drawn members, and tests a node and key in each.
-ROUNDS, DRAWN = 2, 2
+#: Rounds of tests against drawn members, and tests a node and key in each, while blocks would compare more pairs than WORK.
+ROUNDS, DRAWN, WORK = 3, 2, 20_000_000
 #: Components whose outsiders make more pairs than this are compared in blocks of nodes, others pair by pair.
 LISTED, BLOCK = 2000, 512
 
@@ -182,11 +182,11 @@ class Sets:
 def link(mates: DataFrame, sets: Sets) -> DataFrame:
     """(node, component) of all nodes with a link: bucket mates whose sets have the threshold.
 
-    Nodes are tested against their centres first.  What then lies outside the
-    largest component of one of its keys is tested against a few members of
-    that component, drawn by hash, round by round: in a group of near copies
-    nearly all that have links find one that way, at a cost linear in the
-    group.  At last all bucket mates that still are in different components
+    Nodes are tested against their centres first.  If groups are very large,
+    what then lies outside the largest component of one of its keys is tested
+    against a few members of that component, drawn by hash, round by round: in
+    a group of near copies nearly all that have links find one that way, at a
+    cost linear in the group.  At last all bucket mates that still are in different components
     are compared, so every two nodes that share a key either are in one
     component or have been compared on their full sets.
     """
@@ -198,16 +198,18 @@ def link(mates: DataFrame, sets: Sets) -> DataFrame:
     for turn in range(ROUNDS + 1):
         found = shared.materialise(components(links), "found")
         mixed = _mixed(nodes, found)
-        if mixed.isEmpty():
+        outsiders = shared.materialise(mixed.where("c <> top").select("top", "node", "c").distinct(), "outsiders")
+        if outsiders.isEmpty():
             return found
+        sizes = found.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "top")
+        heads = outsiders.groupBy("top").agg(F.count("*").alias("o")).join(sizes, "top", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        large = shared.materialise(heads.where(F.col("o") * (F.col("o") + F.col("n")) > LISTED), "large")
+        work = large.agg(F.sum(F.col("o") * (F.col("o") + F.col("n")))).first()[0] or 0
         stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        if turn < ROUNDS:
-            links = stars.union(_verified(_drawn(mixed, turn), sets, texts))
-            nodes = mixed.select("key", "node")
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "top")
-    outsiders = mixed.where("c <> top").select("top", "node", "c").distinct()
-    heads = outsiders.groupBy("top").agg(F.count("*").alias("o")).join(sizes, "top", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    large = shared.materialise(heads.where(F.col("o") * (F.col("o") + F.col("n")) > LISTED), "large")
+        if turn == ROUNDS or work <= WORK:
+            break
+        links = stars.union(_verified(_drawn(mixed, turn), sets, texts))
+        nodes = mixed.select("key", "node")
     listed = _verified(_listed(mixed.join(large, "top", "left_anti")), sets, texts)
     return components(stars.union(listed).union(_compared(outsiders, found, large, sets.measure, texts)))
 

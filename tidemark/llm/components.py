@@ -5,17 +5,45 @@ every node's smaller neighbours to their least (small star).  A round is two
 grouped minima with map-side combining and no task ever holds a neighbourhood:
 the minimum is joined back instead of collecting neighbours, so a hub of any
 degree is spread by the join.  Rounds grow with the logarithm of the longest
-path.
+path.  Up to ONE_TASK links, counted beforehand, are settled by union-find in
+one task instead, as are the links that rounds have left.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
 
+#: Links that one task takes: 16 MB, and as much again for the forest.
+ONE_TASK = 1_000_000
+
+
+def _union_find(links: DataFrame) -> DataFrame:
+    """(node, component) of few links (u, v)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ends = np.stack([table.column(c).to_numpy() for c in ("u", "v")])
+        nodes, index = np.unique(ends, return_inverse=True)
+        u, v = index.reshape(ends.shape)
+        root = np.arange(len(nodes))
+        while True:
+            # each root takes the least root that a link shows it, then all point at their roots
+            a, b = root[u], root[v]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            if (low == high).all():
+                return pa.table({"node": nodes, "component": nodes[root]})
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+
+    return links.groupBy(F.lit(0).alias("all")).applyInArrow(run, "node long, component long")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """edges(u, v): both ways; each node's neighbours above it go to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,6 +61,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = shared.materialise(links, "links")
     for _ in range(most_rounds):
+        if links.count() <= ONE_TASK:
+            return _union_find(links)
         large = _star(links)  # (u, v) with v the least of a neighbour's neighbourhood
         large = large.where("u <> v").distinct()
         # small star: a node's neighbours below it, and the node, go to the least of them
