@@ -142,3 +142,14 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     total = F.aggregate("__g", F.lit(0.0), lambda acc, h: acc + F.get(ratios, _bucket(h)))
     df = df.withColumn("score", F.when(F.size("__g") > 0, F.round(total / F.size("__g"), 9))).drop("__g")
     return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True)))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with their columns.
+
+    The verdict stands below a column that isn't deterministic, so Spark can't
+    push the filter down to the scan, where it would write out the whole
+    verdict again for each of its parts.
+    """
+    judged = judge(docs, labels, threshold).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
