@@ -34,6 +34,8 @@ class TokenFiles:
     def shards(self) -> DataFrame:
         """path and content of each file, by Spark's own reader."""
         spark = self.index.sparkSession
+        if self.index.isEmpty():  # no shard, no folder
+            return spark.createDataFrame([], "path string, content binary")
         return spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(self.folder)
 
     def documents(self) -> DataFrame:
