@@ -4,11 +4,8 @@ Band keys are dealt to buckets in packed arrays.  Before dealing, a task
 settles what it has buffered: of the nodes with one key only the least goes
 on, the others are reported with it as their centre.  So a bucket gets a key
 at most once a flush, and no task holds a hot key's nodes.  In the bucket the
-least node of all is the centre of those that arrive.
-
-Nodes may carry a sketch of 32 bits.  Then nodes that share a key by chance are
-told apart on the spot: of a key's nodes only those whose sketches agree with
-the centre's are its mates, the rest get a centre of their own.
+least node of all is the centre of those that arrive.  All nodes of a key are
+mates under that key, whatever task or flush they come from.
 """
 
 from __future__ import annotations
@@ -28,7 +25,7 @@ from tidemark.llm.components import components
 
 #: Keys that a bucket holds, and that a task buffers.
 BUCKET_KEYS, FLUSH = 1 << 21, 1 << 20
-_PACKED = "kind int, bucket int, keys binary, nodes binary, centres binary, sketches binary"
+_PACKED = "kind int, bucket int, keys binary, nodes binary, centres binary"
 _MATES = "key long, node long, centre long"
 
 
@@ -36,39 +33,19 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-#: Centres a key may have before the rest are taken for mates of the last.
-CENTRES = 64
-
-
-def _clusters(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray | None, differ: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (key, node), their sketches, the centre of each, and whether it has mates."""
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (key, node), the least node of each key, and whether the key has others."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
     keys, nodes = keys[fresh], nodes[fresh]
-    sketches = np.zeros(len(keys), np.uint32) if sketches is None else sketches[order][fresh]
-    place = np.arange(len(keys))
-    centre = place.copy()
-    rest = place
-    for turn in range(CENTRES):
-        if not len(rest):
-            break
-        first = np.ones(len(rest), bool)
-        first[1:] = keys[rest[1:]] != keys[rest[:-1]]
-        lead = rest[first][np.cumsum(first) - 1]
-        near = np.bitwise_count(sketches[rest] ^ sketches[lead]) <= differ
-        if turn == CENTRES - 1:
-            near[:] = True
-        centre[rest[near]] = lead[near]
-        rest = rest[~near]
-    many = np.bincount(centre, minlength=len(keys))[centre] > 1
-    return keys, nodes, sketches, nodes[centre], many
-
-
-def _own_keys(keys: np.ndarray, centres: np.ndarray, sketched: bool) -> np.ndarray:
-    """With sketches a key may have several centres; each then has a key of its own."""
-    return keys ^ tb.mix(centres.view(np.uint64), 0x4D) if sketched else keys
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(first) - 1
+    centres = nodes[first][group] if len(keys) else nodes
+    many = np.bincount(group)[group] > 1 if len(keys) else first
+    return keys, nodes, centres, many
 
 
 def _mask(width: int) -> np.uint64:
@@ -86,33 +63,27 @@ def _rows(kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     packed = [pa.array([a[order[i:j]].tobytes() for i, j in spans], pa.binary()) for a in arrays]
-    packed += [pa.array([b""] * len(spans), pa.binary())] * (4 - len(packed))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(spans), pa.int32()), pa.array([int(bucket[i]) for i, _ in spans], pa.int32()), *packed], names=["kind", "bucket", "keys", "nodes", "centres", "sketches"])
+    packed += [pa.array([b""] * len(spans), pa.binary())] * (3 - len(packed))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(spans), pa.int32()), pa.array([int(bucket[i]) for i, _ in spans], pa.int32()), *packed], names=["kind", "bucket", "keys", "nodes", "centres"])
 
 
-def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordBatch], Iterator[tuple]], differ: int | None = None) -> DataFrame:
+def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """(key, node, centre) of all nodes that share a key with another; keys_of gives (keys, nodes) of parts of a batch.
 
-    expected: about how many keys there are.  differ: keys_of also gives
-    sketches, and mates' sketches differ in so many bits at most.
+    expected: about how many keys there are.
     """
     least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(expected / BUCKET_KEYS))
     # a bucket has the high bits; of the low ones as many travel as make a chance match rare among this many keys
     width = min(8, max(4, math.ceil((math.log2(max(expected, 1)) + 16) / 8)))
-    sketched, most = differ is not None, differ or 0
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, *sketches = map(np.concatenate, zip(*held, strict=True))
-        keys, nodes, sketch, centres, many = _clusters(keys, nodes, sketches[0] if sketched else None, most)
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, centres, many = _stars(*map(np.concatenate, zip(*held, strict=True)))
         lead = nodes == centres
-        travel = [sketch[lead].view(np.uint8).reshape(-1, 4)] if sketched else []
-        empty = np.zeros((int(lead.sum()), 0), np.uint8)
-        yield _rows(0, _bucket(keys[lead], buckets), _cut(keys[lead], width), nodes[lead], empty, *travel)
+        yield _rows(0, _bucket(keys[lead], buckets), _cut(keys[lead], width), nodes[lead])
         if many.any():
             # a hot key's nodes spread over the buckets by the node
-            own = _own_keys(keys & _mask(width), centres, sketched)[many]
-            yield _rows(1, _bucket(tb.mix(nodes[many].view(np.uint64), 0x5B), buckets), _cut(own, 8), nodes[many], centres[many])
+            yield _rows(1, _bucket(tb.mix(nodes[many].view(np.uint64), 0x5B), buckets), _cut(keys[many] & _mask(width), 8), nodes[many], centres[many])
 
     def deal(batches):
         held, size = [], 0
@@ -137,8 +108,8 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
         if known:
             centres = read("centres", np.int64)
         else:
-            keys, nodes, _, centres, many = _clusters(keys, nodes, read("sketches", np.uint32) if sketched else None, most)
-            keys, nodes, centres = _own_keys(keys, centres, sketched)[many], nodes[many], centres[many]
+            keys, nodes, centres, many = _stars(keys, nodes)
+            keys, nodes, centres = keys[many], nodes[many], centres[many]
         return pa.table({"key": tb.signed(keys), "node": nodes, "centre": centres})
 
     return source.mapInArrow(deal, _PACKED).groupBy("kind", "bucket").applyInArrow(meet, _MATES)
@@ -172,11 +143,11 @@ class Measure:
 
 @dataclass(frozen=True)
 class Sets:
-    """The sets behind nodes: fetch(nodes(node)) gives (node, text); hopeful(pairs(a, b)) may drop pairs that can't be links."""
+    """The sets behind nodes: fetch(nodes(node)) gives (node, text, ...); hopeful(pairs(a, b), texts) may drop pairs that can't be links."""
 
     measure: Measure
     fetch: Callable[[DataFrame], DataFrame]
-    hopeful: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+    hopeful: Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def link(mates: DataFrame, sets: Sets) -> DataFrame:
@@ -216,7 +187,7 @@ def link(mates: DataFrame, sets: Sets) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: Sets, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    pairs = sets.hopeful(pairs)
+    pairs = sets.hopeful(pairs, texts)
     side = lambda x, y: texts.select(F.col("node").alias(x), F.col("text").alias(y))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     measure = sets.measure

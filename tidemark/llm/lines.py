@@ -3,9 +3,9 @@
 A line (between line feeds, ASCII white space off its ends, A-Z lower-cased)
 has as its set the runs of WIDTH characters in it.  Its signature has one
 minimum for each of BUCKETS parts of the hash space, empty parts filled from
-others; bands of ROWS minima, and a sketch of a bit of 32 minima, make
-candidate pairs, exact Jaccard similarity confirms them, and of each component of links the first line in the corpus, by
-(doc_id, line), is kept.
+others; bands of ROWS minima make candidate pairs, sizes and profiles drop those
+that can't be similar, exact Jaccard similarity confirms the others, and of each
+component of links the first line in the corpus, by (doc_id, line), is kept.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ORDER = np.argsort(tb.seeds(BUCKETS * BUCKETS, 0x1D).reshape(BUCKETS, BUCKETS), axis=1)
 _BAND_SEEDS = tb.seeds(BANDS, 0x2E)
 _NO_ID = -(1 << 63)
+#: Counts of a profile.
+PROFILE = 64
 _TO_LOWER = {c: c + 32 for c in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]*")
 
@@ -84,16 +86,27 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return tb.densify(least.reshape(n, BUCKETS), _FULL, _ORDER)
 
 
-def sketches(minima: np.ndarray) -> np.ndarray:
-    """32 bits, one of each of as many minima: those of equal sets agree, those of unlike ones in half of the bits."""
-    bits = (tb.mix(minima[:, :32], 0x77) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.uint32).ravel()
+def profiles(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the n sets, and (n, PROFILE) counts of their members by hash, 255 at most.
+
+    Two sets differ in at least as many members as their counts do.
+    """
+    own = tb.firsts(h ^ tb.mix(owner.astype(np.uint64), 0x7E))
+    owner, h = owner[own], h[own]
+    part = (tb.mix(h, 0x77) >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(owner * PROFILE + part, minlength=n * PROFILE).reshape(n, PROFILE)
+    return counts.sum(axis=1), np.minimum(counts, 255).astype(np.uint8)
 
 
-def most_differences(threshold: float) -> int:
-    """Bits in which sketches of a pair at the threshold may differ: expected ones and four standard deviations."""
-    p = (1 - threshold) / 2
-    return min(32, int(32 * p + 4 * (32 * p * (1 - p)) ** 0.5))
+def possible(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes and profiles may have the threshold; no pair that has it is refused.
+
+    Sets with common part i and union u have sizes of sum i + u and differ in
+    u - i members, so i >= t * u allows (1 - t) / (1 + t) of the sum.
+    """
+    t = round(1000 * threshold)
+    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return (1000 * np.minimum(size_a, size_b) >= t * np.maximum(size_a, size_b)) & ((1000 - t) * (size_a + size_b) >= (1000 + t) * apart)
 
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
@@ -112,7 +125,7 @@ def _keys(batch: pa.RecordBatch):
         for at in range(0, len(use), 2000):
             few = use[at : at + 2000]
             minima = signatures(*lines.shingles(few), len(few))
-            yield band_keys(minima).ravel(), np.repeat(lines.node[few], BANDS), np.repeat(sketches(minima), BANDS)
+            yield band_keys(minima).ravel(), np.repeat(lines.node[few], BANDS)
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -130,7 +143,7 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """node, text of places(node, id, version, line), the text as it is compared."""
+    """node, text, size and profile of places(node, id, version, line), the text as it is compared."""
     asked = places.groupBy("id", "version").agg(F.collect_list(F.struct("line", "node")).alias("asked"))
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,12 +153,17 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
             for w in wanted:
                 node.append(w["node"])
                 text.append(own[w["line"]].strip(" \t\x0b\x0c\r").translate(_TO_LOWER))
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], names=["node", "text"])
+        column = pa.array(text, pa.string())
+        size, profile = np.zeros(len(text), np.int64), np.zeros((len(text), PROFILE), np.uint8)
+        for block in tb.blocks(column):
+            rows = slice(block.first, block.first + len(block))
+            size[rows], profile[rows] = profiles(*_members(block), len(block))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), column, pa.array(size), tb.fixed_binary(profile)], names=["node", "text", "size", "profile"])
 
     # a document has its lines' places once, so few rows of places mean few documents
     small = places.count() <= shared.BROADCAST_ROWS
     found = docs.join(F.broadcast(asked) if small else asked, ["id", "version"])
-    return found.select("text", "asked").mapInArrow(shared.each_batch(pick), "node long, text string")
+    return found.select("text", "asked").mapInArrow(shared.each_batch(pick), "node long, text string, size long, profile binary")
 
 
 def _members(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +172,19 @@ def _members(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
     return lines.text[owner], h
 
 
+def _hopeful(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that sizes and profiles leave; all links are among them."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("profile").alias(f"profile_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "profile_a", "profile_b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (4, 5))
+        keep = possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), a, b, threshold)
+        return batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(shared.each_batch(run), "a long, b long")
+
+
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str, str] = ("n_lines", "n_removed", "removed_lines")) -> DataFrame:
     """docs with the lines of ``text`` that repeat others taken out, and three columns more.
 
@@ -175,13 +206,13 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version")]
     rows = docs.select(*identity, F.col("text").cast("string").alias("text"))
     lines = shared.materialise(_occurrences(rows), "lines")
-    mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys, most_differences(threshold))
+    mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         first = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "version", "line")).alias("at")).select("node", "at.*")
         return _texts(rows, shared.materialise(first, "places"))
 
-    found = link(mates, Sets(Measure(_members, threshold), fetch))
+    found = link(mates, Sets(Measure(_members, threshold), fetch, lambda pairs, texts: _hopeful(pairs, texts, threshold)))
     placed = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct("id", "version", "line")
     # the least place of a component, summed up before it is dealt out

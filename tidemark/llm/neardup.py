@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # rows that share a doc_id: each of their texts stands for it
         return rows.withColumnRenamed("doc_id", "node").join(shared.checked(wanted), "node", "left_semi").distinct()
 
-    sets = Sets(Measure(lambda block: tb.shingles(block, WIDTH), threshold), fetch, lambda pairs: _hopeful(pairs, classes, threshold))
+    sets = Sets(Measure(lambda block: tb.shingles(block, WIDTH), threshold), fetch, lambda pairs, texts: _hopeful(pairs, classes, threshold))
     found = link(mates, sets)
     named = classes.select("c1", "c2", "node").join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
