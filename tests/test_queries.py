@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from tests.compare import duck, rows
@@ -23,3 +24,16 @@ def test_query(spark, con, name):
     expected = con.execute(ORACLE[name]).fetchdf()
     assert sorted(found.columns) == sorted(expected.columns)
     assert rows(found) == rows(expected)
+
+
+FILTERS = ["ekf_2d_full", "ekf_3d_imu", "ekf_vision_only", "ekf_quaternion", "ukf_2d_full", "rts_smoother_2d", "sigma_point_smoother_2d", "ekf_3d"]
+
+
+@pytest.mark.parametrize("name", [*FILTERS, "orientation_filter"])
+def test_filters_run_on_all_sessions_of_events(spark, con, name):
+    """A row a frame (orientation: a sample) of every session that has frames and two samples, all finite."""
+    kind, frames = ("click", 0) if name == "orientation_filter" else ("view", 1)
+    expected = con.execute(f"SELECT user_id, count(*) FILTER (event_type = '{kind}') FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') >= 2 AND count(*) FILTER (event_type = 'view') >= {frames}").fetchall()
+    found = QUERIES[name](spark, SMALL).toPandas()
+    assert found.groupby("session_id").size().to_dict() == dict(expected)
+    assert found.notna().all().all() and np.isfinite(found.select_dtypes("number")).all().all()

@@ -637,13 +637,26 @@ def led_identity_viterbi(spark, d):
     return out.where(cleaning.dual_mask()).select("session_id", "event_id", "swapped")
 
 
-# full filters on simulated sessions: no SQL; tests hold them to closed forms and acceptance thresholds
+# full filters on all sessions of events: no SQL; tests hold the kernels to closed forms and acceptance thresholds on simulated sessions
 
 SESSIONS, SECONDS = 8, 4.0
 
 
-def _tracked(spark: SparkSession, mode: str, **options) -> DataFrame:
-    samples, frames = simulate.circular(spark, SESSIONS, SECONDS)
+def _ascending(df: DataFrame) -> DataFrame:
+    """Rows of one session and time in the order of events, so little apart that they don't pass others."""
+    w = Window.partitionBy("session_id", "t").orderBy("event_id")
+    return df.withColumn("t", F.col("t") + (F.row_number().over(w) - 1) * F.lit(1e-11))
+
+
+def _inertial(spark: SparkSession, d: str) -> DataFrame:
+    """Samples in SI units: the value turns about z, k is the first axis' acceleration, as in scan_project_si; level otherwise."""
+    z = F.lit(0.0)
+    gz, ax = F.col("value") * F.lit(0.061 * 0.017453292519943295), -F.col("k") * F.lit(0.000061 * 9.80665)
+    return _ascending(ev.samples(spark, d)).select("session_id", "t", z.alias("gx"), z.alias("gy"), gz.alias("gz"), ax.alias("ax"), z.alias("ay"), F.lit(simulate.GRAVITY).alias("az"))
+
+
+def _tracked(spark: SparkSession, d: str, mode: str, **options) -> DataFrame:
+    samples, frames = _inertial(spark, d), _ascending(led_frames(spark, d))
     cfg = FilterConfig.vision_only() if mode == "vision_only" else FilterConfig(state_mode=mode)
     out = filters.track(samples, frames, cfg, **options)
     mean = "smoothed_mean" if options.get("smooth") else "mean"
@@ -653,50 +666,52 @@ def _tracked(spark: SparkSession, mode: str, **options) -> DataFrame:
 
 @query()
 def ekf_2d_full(spark, d):
-    return _tracked(spark, "2d_full")
+    return _tracked(spark, d, "2d_full")
 
 
 @query()
 def ekf_3d_imu(spark, d):
-    return _tracked(spark, "2d_cam_3d_imu")
+    return _tracked(spark, d, "2d_cam_3d_imu")
 
 
 @query()
 def ekf_vision_only(spark, d):
-    return _tracked(spark, "vision_only")
+    return _tracked(spark, d, "vision_only")
 
 
 @query()
 def ekf_quaternion(spark, d):
-    return _tracked(spark, "2d_cam_6dof_imu_orientation")
+    return _tracked(spark, d, "2d_cam_6dof_imu_orientation")
 
 
 @query()
 def ukf_2d_full(spark, d):
-    return _tracked(spark, "2d_full", unscented=True)
+    return _tracked(spark, d, "2d_full", unscented=True)
 
 
 @query()
 def rts_smoother_2d(spark, d):
-    return _tracked(spark, "2d_full", smooth=True)
+    return _tracked(spark, d, "2d_full", smooth=True)
 
 
 @query()
 def sigma_point_smoother_2d(spark, d):
-    return _tracked(spark, "2d_full", unscented=True, smooth=True)
+    return _tracked(spark, d, "2d_full", unscented=True, smooth=True)
 
 
 @query()
 def ekf_3d(spark, d):
-    samples, frames = simulate.spatial(spark, SESSIONS, SECONDS)
-    out = filters.track_3d(samples, frames, simulate.OFFSETS_3D, FilterConfig(state_mode="3d_cam_6dof_imu"))
+    led = lambda x, y: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.array(x, y, F.lit(0.0)))
+    frames = _ascending(led_frames(spark, d)).select("session_id", "t", F.array(led("x1", "y1"), led("x2", "y2")).alias("leds"))
+    out = filters.track_3d(_inertial(spark, d), frames, simulate.OFFSETS_3D, FilterConfig(state_mode="3d_cam_6dof_imu"))
     return out.select("session_id", "frame", *(r(F.get("mean", F.lit(i))).alias(c) for i, c in enumerate("xyz")), "vision")
 
 
 @query()
 def orientation_filter(spark, d):
-    samples, frames = simulate.circular(spark, SESSIONS, SECONDS)
-    out = filters.orient(samples, OrientationConfig(gyro_norm_threshold_rad_s=1.0), frames)
+    """Two frames with both LEDs give camera headings; sessions with fewer go without."""
+    frames = _ascending(led_frames(spark, d)).withColumn("dual", F.count_if(cleaning.dual_mask()).over(Window.partitionBy("session_id"))).where("dual >= 2").drop("dual")
+    out = filters.orient(_inertial(spark, d), OrientationConfig(gyro_norm_threshold_rad_s=1.0), frames)
     return rounded(out.select("session_id", "t", "roll", "pitch", "yaw", "bias_z"), "t", "roll", "pitch", "yaw", "bias_z")
 
 
