@@ -36,7 +36,7 @@ def test_stages(spark):
     clean = stage["benchmark_decontamination"](spark, near, SMALL).cache()
     items = [leaks.normalise(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert not any(t in leaks.normalise(x) for x in texts(clean).values() for t in items)
-    assert set(before) - set(texts(clean)) == {i for i, t in before.items() if any(leaks.myers(p, leaks.normalise(t), len(p) // leaks.CHARS_PER_ERROR) for p in items)}
+    assert set(before) - set(texts(clean)) == {i for i, t in before.items() if any(leaks.myers(p, leaks.normalise(t), leaks.budget(len(p))) for p in items)}
 
     packed = stage["best_fit_packing"](spark, clean, SMALL)
     assert {r["doc_id"] for r in packed.collect()} == set(texts(clean))
