@@ -35,13 +35,18 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct (key, node), the least node of each key, and whether the key has others."""
-    order = np.lexsort((nodes, keys))
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[fresh], nodes[fresh]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
+    # most keys have one node; only the others' nodes are sorted
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    again = np.flatnonzero(~alone)
+    nodes[again] = nodes[again][np.lexsort((nodes[again], keys[again]))]
+    fresh = first.copy()
+    fresh[1:] |= nodes[1:] != nodes[:-1]
+    keys, nodes, first = keys[fresh], nodes[fresh], first[fresh]
     group = np.cumsum(first) - 1
     centres = nodes[first][group] if len(keys) else nodes
     many = np.bincount(group)[group] > 1 if len(keys) else first
@@ -70,9 +75,11 @@ def _rows(kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
 def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """(key, node, centre) of all nodes that share a key with another; keys_of gives (keys, nodes) of parts of a batch.
 
-    expected: about how many keys there are.
+    A key that only two nodes have gives one row, of the second with the first
+    as its centre and no key.  expected: about how many keys there are.
     """
     least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as buckets, so that neither grows with the corpus
     buckets = max(least, math.ceil(expected / BUCKET_KEYS))
     # a bucket has the high bits; of the low ones as many travel as make a chance match rare among this many keys
     width = min(8, max(4, math.ceil((math.log2(max(expected, 1)) + 16) / 8)))
@@ -80,7 +87,7 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, nodes, centres, many = _stars(*map(np.concatenate, zip(*held, strict=True)))
         lead = nodes == centres
-        yield _rows(0, _bucket(keys[lead], buckets), _cut(keys[lead], width), nodes[lead])
+        yield _rows(0, _bucket(keys[lead], buckets), _cut(keys[lead], width), nodes[lead], many[lead])
         if many.any():
             # a hot key's nodes spread over the buckets by the node
             yield _rows(1, _bucket(tb.mix(nodes[many].view(np.uint64), 0x5B), buckets), _cut(keys[many] & _mask(width), 8), nodes[many], centres[many])
@@ -106,13 +113,20 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
         keys[:, : raw.shape[1]] = raw
         keys = keys.view("<u8").ravel()
         if known:
-            centres = read("centres", np.int64)
-        else:
-            keys, nodes, centres, many = _stars(keys, nodes)
-            keys, nodes, centres = keys[many], nodes[many], centres[many]
-        return pa.table({"key": tb.signed(keys), "node": nodes, "centre": centres})
-
-    return source.mapInArrow(deal, _PACKED).groupBy("kind", "bucket").applyInArrow(meet, _MATES)
+            return pa.table({"key": tb.signed(keys), "node": nodes, "centre": read("centres", np.int64)})
+        more = np.unique(keys[read("centres", bool)])
+        keys, nodes, centres, many = _stars(keys, nodes)
+        keys, nodes, centres = keys[many], nodes[many], centres[many]
+        # two nodes and no others: the pair says all
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        two = (np.diff(first, append=len(keys)) == 2) & ~np.isin(keys[first], more)
+        pair = np.zeros(len(keys), bool)
+        pair[first[two]] = pair[first[two] + 1] = True
+        use = ~pair
+        use[first[two] + 1] = True
+        return pa.table({"key": pa.array(tb.signed(keys), mask=pair).filter(pa.array(use)), "node": nodes[use], "centre": centres[use]})
+
+    return source.mapInArrow(deal, _PACKED).repartition(buckets, "bucket").groupBy("kind", "bucket").applyInArrow(meet, _MATES)
 
 
 #: Rounds of tests against drawn members, and tests a node and key in each, while blocks would compare more pairs than WORK.
@@ -162,8 +176,9 @@ def link(mates: DataFrame, sets: Sets) -> DataFrame:
     component or have been compared on their full sets.
     """
     mates = shared.materialise(mates, "mates")
-    nodes = mates.select("key", "node").distinct()
-    texts = shared.materialise(sets.fetch(shared.materialise(mates.select("node").distinct(), "wanted")), "texts")
+    nodes = mates.where("key is not null").select("key", "node").distinct()
+    wanted = mates.select("node").union(mates.where("key is null").select("centre")).distinct()
+    texts = shared.materialise(sets.fetch(shared.materialise(wanted, "wanted")), "texts")
     pairs = mates.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(pairs, sets, texts)
     for turn in range(ROUNDS + 1):

@@ -1,16 +1,19 @@
 """Connected components of a graph given as an edge table, by distributed union-find.
 
-Each round links every node to the least node it knows of (large star), then
-every node's smaller neighbours to their least (small star).  A round is two
-grouped minima with map-side combining and no task ever holds a neighbourhood:
-the minimum is joined back instead of collecting neighbours, so a hub of any
-degree is spread by the join.  Rounds grow with the logarithm of the longest
-path.  Up to ONE_TASK links, counted beforehand, are settled by union-find in
-one task instead, as are the links that rounds have left.
+Each task first settles the links of its own partition by union-find, which
+leaves it a forest: at most one link a node, to the least node it can reach
+there.  Rounds then settle the forests between tasks: every node above goes to
+the least node that a neighbour knows of (large star), then every node's
+smaller neighbours to their least (small star).  A round is two grouped minima
+with map-side combining and no task ever holds a neighbourhood: the minimum is
+joined back instead of collecting neighbours, so a hub of any degree is spread
+by the join.  Rounds grow with the logarithm of the longest path between tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,38 +21,63 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
+#: Links that a task holds before it shrinks them to a forest.
+HELD = 1 << 20
+
 
-#: Links that one task takes: 16 MB, and as much again for the forest.
-ONE_TASK = 1_000_000
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of links (u, v) that can reach a smaller one, and the least one it can reach."""
+    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        # each root takes the least root that a link shows it, then all point at their roots
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            below = root != np.arange(len(nodes))
+            return nodes[below], nodes[root[below]]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
 
 
-def _union_find(links: DataFrame) -> DataFrame:
-    """(node, component) of few links (u, v)."""
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as a forest."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = kept = 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += len(batch)
+        if size >= HELD + 2 * kept:
+            held = [_forest(*map(np.concatenate, zip(*held, strict=True)))]
+            size = kept = len(held[0][0])
+    if size:
+        u, v = _forest(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def run(table: pa.Table) -> pa.Table:
-        ends = np.stack([table.column(c).to_numpy() for c in ("u", "v")])
-        nodes, index = np.unique(ends, return_inverse=True)
-        u, v = index.reshape(ends.shape)
-        root = np.arange(len(nodes))
-        while True:
-            # each root takes the least root that a link shows it, then all point at their roots
-            a, b = root[u], root[v]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            if (low == high).all():
-                return pa.table({"node": nodes, "component": nodes[root]})
-            np.minimum.at(root, high, low)
-            while (root[root] != root).any():
-                root = root[root]
 
-    return links.groupBy(F.lit(0).alias("all")).applyInArrow(run, "node long, component long")
+def _settled(links: DataFrame, name: str) -> DataFrame:
+    """links(u, v), u > v, without repeats, each task's share shrunk."""
+    return shared.materialise(links.distinct().mapInArrow(_shrink, "u long, v long"), name)
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """edges(u, v): both ways; each node's neighbours above it go to the least of the node and its neighbours."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _stars(links: DataFrame) -> DataFrame:
+    """Large star, then small star."""
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return up
+    # links go down from u, so what stands above a node are the u of its links
+    large = links.select("u", F.col("v").alias("w")).join(least.select(F.col("u").alias("w"), "m"), "w").select("u", F.col("m").alias("v"))
+    large = large.union(least.where("u > m").select("u", F.col("m").alias("v"))).distinct()
+    lower = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.union(lower.select("u", F.col("m").alias("v")))
+
+
+def _open(links: DataFrame) -> bool:
+    """Whether some node is both above and below a link, or has two links down."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+    degree = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not degree.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -58,24 +86,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Null ends and self-links are left out; repeated links count once.  Without
     links the result is empty.
     """
-    links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = shared.materialise(links, "links")
+    links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links = _settled(links, "links")
     for _ in range(most_rounds):
-        if links.count() <= ONE_TASK:
-            return _union_find(links)
-        large = _star(links)  # (u, v) with v the least of a neighbour's neighbourhood
-        large = large.where("u <> v").distinct()
-        # small star: a node's neighbours below it, and the node, go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = shared.materialise(small, "links")
-        # a forest of stars: no node is both a member and a centre, and each member has one centre
-        deep = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        twice = after.groupBy("u").count().where("count > 1").limit(1).count()
-        links = after
-        if not deep and not twice:
+        if not _open(links):
             break
+        links = _settled(_stars(links), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

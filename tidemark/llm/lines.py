@@ -23,13 +23,16 @@ from tidemark.llm.bands import Measure, Sets, bucket_mates, link
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: At the threshold a pair shares a band with probability 0.9996.  Lines of one
-#: language share a few in a hundred runs; five rows keep those apart.
-BUCKETS, ROWS = 100, 5
+#: At the threshold a pair shares a band with probability 0.9995.  Lines of one
+#: language share a few in a hundred runs; six rows keep those apart.
+BUCKETS, ROWS = 150, 6
 BANDS = BUCKETS // ROWS
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_EMPTY = np.uint32(0xFFFFFFFF)
 _ORDER = np.argsort(tb.seeds(BUCKETS * BUCKETS, 0x1D).reshape(BUCKETS, BUCKETS), axis=1)
 _BAND_SEEDS = tb.seeds(BANDS, 0x2E)
+_ROW_FACTORS = tb.seeds(BUCKETS, 0x4F) | np.uint64(1)
+_RUN_FACTORS = tb.seeds(3, 0x95) | np.uint64(1)
+_BAG_VALUES = tb.seeds(256, 0x83)
 _NO_ID = -(1 << 63)
 #: Counts of a profile.
 PROFILE = 64
@@ -37,34 +40,64 @@ _TO_LOWER = {c: c + 32 for c in range(65, 91)}
 _BLANK = re.compile(r"[\x20\x09-\x0D]*")
 
 
+def _trimmed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without white space at their ends."""
+    start, end = start.copy(), end.copy()
+    for at, step in ((start, 1), (end, -1)):
+        todo = np.flatnonzero(start < end)
+        for _ in range(64):
+            todo = todo[tb._SPACE[buf[at[todo] - (step < 0)]]]
+            if not len(todo):
+                break
+            at[todo] += step
+            todo = todo[start[todo] < end[todo]]
+        if len(todo):  # long runs of white space
+            solid = np.flatnonzero(~tb._SPACE[buf])
+            edge = np.append(solid, len(buf)) if step > 0 else np.insert(solid, 0, -1) + 1
+            found = np.searchsorted(solid, at[todo], "left")
+            at[todo] = np.minimum(edge[found], end[todo]) if step > 0 else np.maximum(edge[found], start[todo])
+    return start, end
+
+
 class Lines:
-    """The lines of a block that have a word."""
+    """The lines of a block that have a word: bytes start..end, number in the text, 64-bit hash (node) and a second hash (check)."""
 
-    def __init__(self, block: tb.Block):
+    def __init__(self, block: tb.Block, check: bool = False):
         buf = tb._LOWER[block.buf]
-        found = tb.words(block)
         feeds = np.flatnonzero(buf == 10)
-        text = found.text_of()
-        before = np.searchsorted(feeds, found.start)
-        line = before + text  # grows at each feed and at each text
-        first = np.ones(len(line), bool)
-        first[1:] = line[1:] != line[:-1]
-        last = np.ones(len(line), bool)
-        last[:-1] = first[1:]
+        # a line begins at each text and after each feed, and ends before the next of them
+        start = np.concatenate([block.offs[:-1], feeds + 1])
+        text = np.concatenate([np.arange(len(block)), np.searchsorted(block.offs, feeds, "right") - 1])
+        order = np.argsort(start, kind="stable") if len(feeds) else np.arange(len(start))
+        # an empty text begins where the next one does: texts come first in the order, feeds' lines are later
+        order = order[np.argsort(text[order], kind="stable")]
+        start, text = start[order], text[order]
+        end = np.append(start[1:] - 1, len(buf))
+        last = np.ones(len(start), bool)
+        last[:-1] = text[1:] != text[:-1]
+        end[last] = block.offs[text[last] + 1]
+        number = np.arange(len(start)) - np.searchsorted(text, text)
+        start, end = _trimmed(buf, start, end)
+        some = start < end
         self.buf, self.sums = buf, tb.prefix(tb._BYTE_VALUES[buf])
-        self.start, self.end, self.text = found.start[first], found.end[last], text[first]
-        self.number = before[first] - np.searchsorted(feeds, block.offs[self.text])
+        self.start, self.end, self.text, self.number = start[some], end[some], text[some], number[some]
         self.node = tb.signed(tb.span(self.sums, self.start, self.end))
+        if check:
+            bag = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BAG_VALUES[buf])])
+            self.check = tb.signed(tb.mix(bag[self.end] - bag[self.start]))
 
     def shingles(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index in use, hash) of the characters' runs of the lines ``use``; a shorter line is one run."""
-        lead = np.flatnonzero((self.buf & 0xC0) != 0x80)
-        a, b = np.searchsorted(lead, self.start[use]), np.searchsorted(lead, self.end[use])
+        # characters as code points of 21 bits; runs of the whole block, then those that lie in one line
+        chars = np.frombuffer(self.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if len(chars) == len(self.buf):
+            a, b = self.start[use], self.end[use]
+        else:
+            lead = np.flatnonzero((self.buf & 0xC0) != 0x80)
+            a, b = np.searchsorted(lead, self.start[use]), np.searchsorted(lead, self.end[use])
         long = b - a >= WIDTH
-        h = np.zeros(0, np.uint64)
-        if long.any():
-            # of the whole block, then those that lie in one line
-            h = tb.runs(self.sums, np.append(lead, len(self.buf)), WIDTH)
+        pairs = chars[1:] << np.uint64(21) | chars[:-1]
+        h = tb.mix(pairs[:-3] * _RUN_FACTORS[0] + pairs[2:-1] * _RUN_FACTORS[1] + chars[4:] * _RUN_FACTORS[2]) if len(chars) >= WIDTH else np.zeros(0, np.uint64)
         size = np.where(long, b - a - WIDTH + 1, 0)
         owner = np.repeat(np.arange(len(use)), size)
         at = np.arange(len(owner)) + np.repeat(a - (np.cumsum(size) - size), size)
@@ -79,11 +112,11 @@ class Lines:
 
 
 def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """(n, BUCKETS) minima."""
-    least = np.full(n * BUCKETS, _FULL)
+    """(n, BUCKETS) minima: the high half of a hash names the part, the low half is the value."""
+    least = np.full(n * BUCKETS, _EMPTY)
     part = (h >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)
-    np.minimum.at(least, owner * BUCKETS + part.astype(np.int64), tb.mix(h, 0x6B))
-    return tb.densify(least.reshape(n, BUCKETS), _FULL, _ORDER)
+    np.minimum.at(least, owner * BUCKETS + part.view(np.int64), h.astype(np.uint32))
+    return tb.densify(least.reshape(n, BUCKETS), _EMPTY, _ORDER)
 
 
 def profiles(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +144,8 @@ def possible(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarra
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
     """(n, BANDS) keys."""
-    rows = tb.mix(minima).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(_BAND_SEEDS, rows.shape[:2]).copy()
-    for r in range(ROWS):
-        key = tb.mix(key + rows[:, :, r])
-    return key
+    rows = minima.astype(np.uint64) * _ROW_FACTORS
+    return tb.mix(np.add.reduce(rows.reshape(-1, BANDS, ROWS), axis=2) + _BAND_SEEDS)
 
 
 def _keys(batch: pa.RecordBatch):
@@ -130,16 +160,15 @@ def _keys(batch: pa.RecordBatch):
 
 def _occurrences(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, number, node = [], [], []
+        parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
         for block in tb.blocks(batch.column(2)):
-            lines = Lines(block)
-            row.append(lines.text + block.first)
-            number.append(lines.number)
-            node.append(lines.node)
-        row = np.concatenate([np.zeros(0, np.int64), *row])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.int64), *number])), pa.array(np.concatenate([np.zeros(0, np.int64), *node]))], names=["id", "version", "line", "node"])
+            lines = Lines(block, check=True)
+            for held, own in zip(parts, (lines.text + block.first, lines.number, lines.node, lines.check), strict=True):
+                held.append(own)
+        row, number, node, check = map(np.concatenate, parts)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number), pa.array(node), pa.array(check)], names=["id", "version", "line", "node", "check"])
 
-    return rows.mapInArrow(shared.each_batch(run), "id long, version long, line long, node long")
+    return rows.mapInArrow(shared.each_batch(run), "id long, version long, line long, node long, check long")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -160,10 +189,7 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
             size[rows], profile[rows] = profiles(*_members(block), len(block))
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), column, pa.array(size), tb.fixed_binary(profile)], names=["node", "text", "size", "profile"])
 
-    # a document has its lines' places once, so few rows of places mean few documents
-    small = places.count() <= shared.BROADCAST_ROWS
-    found = docs.join(F.broadcast(asked) if small else asked, ["id", "version"])
-    return found.select("text", "asked").mapInArrow(shared.each_batch(pick), "node long, text string, size long, profile binary")
+    return docs.join(asked, ["id", "version"]).select("text", "asked").mapInArrow(shared.each_batch(pick), "node long, text string, size long, profile binary")
 
 
 def _members(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +211,24 @@ def _hopeful(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(shared.each_batch(run), "a long, b long")
 
 
+def _gone(lines: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, version, line) of all lines but the first of their component.
+
+    A line whose second hash isn't that of its node's first is another line
+    that meets the node by chance; it stays.
+    """
+    place = ("id", "version", "line")
+    # a line without a link that occurs once stays
+    named = firsts.join(found, "node", "left").where("component is not null or n > 1").withColumn("component", F.coalesce("component", "node"))
+    named = shared.materialise(named, "named")
+    groups = named.groupBy("component").agg(F.min(F.struct(*place)).alias("first"), F.sum("n").alias("lines"), F.count("*").alias("n"))
+    groups = shared.materialise(groups.where("lines > 1"), "groups")
+    named = named.select("component", "node", "n", F.col("check").alias("own"))
+    heads = shared.materialise(shared.spread_join(named, groups.select("component", "first"), ["component"], groups.select("component", "n")).drop("component"), "heads")
+    met = shared.spread_join(lines, heads.select("node", "own", "first"), ["node"], heads.select("node", "n"))
+    return met.where((F.col("check") == F.col("own")) & (F.struct(*place) != F.col("first"))).select(*place)
+
+
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str, str] = ("n_lines", "n_removed", "removed_lines")) -> DataFrame:
     """docs with the lines of ``text`` that repeat others taken out, and three columns more.
 
@@ -206,24 +250,19 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version")]
     rows = docs.select(*identity, F.col("text").cast("string").alias("text"))
     lines = shared.materialise(_occurrences(rows), "lines")
-    mates = bucket_mates(rows.select("text"), BANDS * lines.count(), _keys)
+    # of equal lines the first; n is how many there are
+    firsts = lines.groupBy("node").agg(F.min(F.struct("check", "id", "version", "line")).alias("at"), F.count("*").alias("n"))
+    firsts = shared.materialise(firsts.select("node", "at.*", "n"), "firsts")
+    mates = bucket_mates(rows.select("text"), BANDS * firsts.count(), _keys)
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        first = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "version", "line")).alias("at")).select("node", "at.*")
-        return _texts(rows, shared.materialise(first, "places"))
+        return _texts(rows, firsts.join(wanted, "node").select("node", "id", "version", "line"))
 
     found = link(mates, Sets(Measure(_members, threshold), fetch, lambda pairs, texts: _hopeful(pairs, texts, threshold)))
-    placed = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place = F.struct("id", "version", "line")
-    # the least place of a component, summed up before it is dealt out
-    first = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("component", "first")
-    gone = placed.join(first, "component").where(place != F.col("first")).select("id", "version", "line").distinct()
-    gone = shared.materialise(gone, "gone")
-    few = gone.count() <= shared.BROADCAST_ROWS
-    gone = gone.groupBy("id", "version").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     joined = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(identity, ("id", "version"), strict=True)))
+    gone = _gone(lines, firsts, found).groupBy("id", "version").agg(F.sort_array(F.collect_set("line")).alias("__gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("version").alias("__version"), "__gone")
-    joined = joined.join(F.broadcast(gone) if few else gone, ["__id", "__version"], "left").drop("__id", "__version")
+    joined = joined.join(gone, ["__id", "__version"], "left").drop("__id", "__version")
     at = {c: i for i, c in enumerate(names)}
     schema = docs.withColumns({counts[0]: F.lit(0).cast("long"), counts[1]: F.lit(0).cast("long"), counts[2]: F.array().cast("array<bigint>")}).schema
 

@@ -6,6 +6,7 @@ driver ends (see ``tidemark.sources.storage``).
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,11 +19,22 @@ from pyspark.sql import functions as F
 from tidemark.sources.storage import scratch
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet and read again."""
+    """df, written once as Parquet and read again; what was shuffled for it goes as soon as it is written."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,13 +50,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-#: Rows of two longs that a broadcast may hold (about 64 MB as a hash relation).
-BROADCAST_ROWS = 1_000_000
+#: Keys that are joined apart from the others have one row in HOT of the left side at least, so there are at most HOT of them.
+HOT, LEAST_HOT = 1000, 100
+
 
+def spread_join(left: DataFrame, right: DataFrame, by: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left.join(right, by, how) for a right side with one row a key, whatever share of the left rows a key has.
 
-def checked(df: DataFrame) -> DataFrame:
-    """df (written already; a few longs a row), to be broadcast if its counted rows are few, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    counts(*by, n): how many rows of the left side each key has; all three are
+    written tables.  Rows of the at most HOT keys that have more than one in
+    HOT of them stay where they are and meet these keys' rows by broadcast;
+    the others are dealt by the key.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(LEAST_HOT, math.ceil(total / HOT))).select(*by)
+    if hot.isEmpty():
+        return left.join(right, by, how)
+    hot = F.broadcast(materialise(hot, "hot"))
+    few = F.broadcast(right.join(hot, by, "left_semi"))
+    return left.join(hot, by, "left_semi").join(few, by, how).unionByName(left.join(hot, by, "left_anti").join(right, by, how))
 
 
 @contextmanager

@@ -200,16 +200,20 @@ def pair_overlaps(text: np.ndarray, h: np.ndarray, pairs: int) -> tuple[np.ndarr
 
 def densify(least: np.ndarray, empty: np.uint64, order: np.ndarray) -> np.ndarray:
     """A copy of (n, buckets) in which an empty bucket has the value of the first that isn't, in its row of order."""
-    full = least.copy()
-    row, column = np.nonzero(least == empty)
-    for k in range(order.shape[1]):
-        if not len(row):
+    flat, width = least.ravel(), least.shape[1]
+    full = flat.copy()
+    todo = np.flatnonzero(flat == empty)
+    column = todo % max(width, 1)
+    row = todo - column
+    for probe in np.ascontiguousarray(order.T):
+        if not len(todo):
             break
-        found = least[row, order[column, k]]
+        found = flat.take(row + probe.take(column))
         good = found != empty
-        full[row[good], column[good]] = found[good]
-        row, column = row[~good], column[~good]
-    return full
+        full[todo[good]] = found[good]
+        rest = ~good
+        todo, row, column = todo[rest], row[rest], column[rest]
+    return full.reshape(least.shape)
 
 
 def fixed_binary(matrix: np.ndarray) -> pa.Array:
