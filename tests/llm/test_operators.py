@@ -87,13 +87,22 @@ def test_leaks_in_several_passes(spark, monkeypatch):
     assert {k: [x["item_id"] for x in v] for k, (v,) in keyed(leaks.find_leaks(texts, benchmark), "leaks").items()} == {i: [i] for i, _ in items}
 
 
+def test_short_items_are_found_as_words(spark):
+    benchmark = spark.createDataFrame([(1, "What is the capital?"), (2, "moby-dick"), (3, "Who wrote"), (4, "x" * 31), (5, "-")], "item_id long, text string")
+    values = {1: "Tell me: what  is the\nCapital? Now.", 2: "MOBY-DICKENS", 3: "who wrote Moby-Dick", 4: "whowrote, Who wroten", 5: "y" + "x" * 31, 6: "the end " + "x" * 31, 7: "a - b"}
+    found = {k: [(x["item_id"], x["distance"]) for x in v] for k, (v,) in keyed(leaks.find_leaks(frame(spark, values), benchmark), "leaks").items()}
+    assert found == {1: [(1, 0)], 2: [(5, 0)], 3: [(2, 0), (3, 0), (5, 0)], 4: [], 5: [], 6: [(4, 0)], 7: [(5, 0)]}
+
+
 def test_leaks_query(spark, docs):
-    out = keyed(queries.op1_benchmark_decontamination(spark, SMALL), "item_ids", "kept")
+    """Every item against every whole text, by the distance alone."""
+    out = keyed(queries.op1_benchmark_decontamination(spark, SMALL), "n_items", "item_ids", "least_distance", "kept")
     items = [(r["item_id"], leaks.normalise(r["text"])) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert set(out) == set(docs)
-    for i, (found, kept) in out.items():
-        exact = {k for k, t in items if t in leaks.normalise(docs[i])}
-        assert exact <= set(found) and kept == (not found)
+    for i, t in docs.items():
+        text = leaks.normalise(t)
+        held = {k: d[0] for k, item in items if (d := leaks.myers(item, text, leaks.budget(len(item)))) is not None}
+        assert out[i] == (len(held), sorted(held), min(held.values(), default=None), not held)
 
 
 # 2
@@ -361,9 +370,12 @@ def test_near_duplicates_on_awkward_rows(spark, awkward, nothing):
     out = keyed(neardup.near_duplicates(awkward), "n_shingles", "component_id", "kept")
     assert out == {i: (n, c, c == i) for i, (n, c) in brute.near_components(awkward_texts()).items()}
     assert neardup.near_duplicates(nothing).count() == 0
-    odd = spark.createDataFrame([(None, "one two three four five six"), (3, "one two three four five six"), (3, "one two three four five six"), (4, None), (4, None), (None, None)], "doc_id long, text string")
+    six = "one two three four five six"
+    odd = spark.createDataFrame([(None, six), (3, six), (3, six), (None, "seven eight nine"), (None, "seven eight nine"), (4, None), (4, None), (None, None), (3, "another text"), (7, "Another text")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.near_duplicates(odd).collect())
-    assert got == [(0, 0, True), (0, 0, True), (3, 0, False), (3, 0, False), (4, 4, True), (4, 4, True)]
+    assert got == [(0, 0, True), (0, 0, True), (0, 0, True), (0, 3, False), (3, 3, True), (3, 3, True), (3, 3, True), (4, 4, True), (4, 4, True), (7, 3, False)]
+    rest = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.drop_near(odd).collect())
+    assert rest == [(0, ""), (0, "seven eight nine"), (3, "another text"), (3, six), (4, "")]
 
 
 @pytest.mark.parametrize("work", [0, 20_000_000])
@@ -386,9 +398,12 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch, work):
     assert out == brute.near_components(values)
 
 
-@pytest.mark.parametrize("one_task", [-1, 1_000_000])
-def test_components(spark, monkeypatch, one_task):
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_components(spark, monkeypatch, tasks):
+    """Links in one task, and in so many tasks that rounds settle nearly all."""
+    monkeypatch.setattr(components, "HELD", 20)
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)] + [(500, i) for i in range(501, 700)] + [(7, 7), (None, 3)]
     groups = brute.Union()
@@ -396,5 +411,7 @@ def test_components(spark, monkeypatch, one_task):
         if a is not None and a != b:
             groups.link(a, b)
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: groups.find(x) for x in list(groups)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    none = components.components(spark.createDataFrame([], "a long, b long")).count()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {x: groups.find(x) for x in list(groups)} and none == 0
