@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.kernels import tracker
-from tidemark.operators import filters, qa, temporal
-from tidemark.plans.config import CameraColumns, EventSource, FilterConfig, ImuColumns, SessionConfig
+from tidemark.operators import calculus, calibration, filters, qa, temporal, validation
+from tidemark.plans.config import CalibrationGates, CameraColumns, EventSource, FilterConfig, ImuColumns, SessionConfig
 from tidemark.sources import files, simulate
 from tidemark.streaming import streams
 
@@ -41,6 +41,19 @@ def test_load_and_track(spark, recorded):
     assert (acc["n_total"], acc["n_edge_mismatch"]) == (3, 1)
     out = filters.track(s.samples, s.frames, s.config.filter, smooth=True).toPandas()
     assert len(out) == 120 and out["vision"].all() and len(out["cov"][0]) == 64
+    assert (out["nis_dim"] == 4).all()
+    # the innovation's distance, from the prediction and the LEDs' linearisation
+    listed = s.frames.orderBy("t").toPandas()
+    cfg = s.config.filter
+    spacing = cfg.led_distance or float(np.median(np.hypot(listed["x2"] - listed["x1"], listed["y2"] - listed["y1"])))
+    for k in (10, 60, 119):
+        expected, h = tracker.led_measurement(tracker.Motion(cfg), np.array(out["predicted_mean"][k]), spacing)
+        v = listed.loc[k, ["x1", "y1", "x2", "y2"]].to_numpy(float) - expected
+        cov = h @ np.array(out["predicted_cov"][k]).reshape(8, 8) @ h.T + cfg.measurement_noise_pos * np.eye(4)
+        assert out["nis"][k] == pytest.approx(v @ np.linalg.solve(cov, v), rel=0.02)  # the solver boosts the diagonal
+    # a steady turn: nothing stands still, so the data can't be judged
+    judged = s.calibration.withColumn("text", calibration.report_text()).first()
+    assert "stationary" in judged["problem"] and judged["text"].startswith("inertial calibration of session 0 failed")
     assert np.isfinite(np.stack(out["smoothed_mean"])).all()
 
 
@@ -66,6 +79,92 @@ def test_sample_and_hold_repeats_go(spark, tmp_path):
     assert len(out) == 3 and out["gz"].tolist() == pytest.approx([0, 10 * 0.061 * np.pi / 180, 20 * 0.061 * np.pi / 180])
 
 
+def moving(seconds=40.0, lag=0.12, seed=3):
+    """A rig that rests, then drives and turns; the accelerometer's y looks forward, x to the right, and its clock is late."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(0, seconds, 0.005)
+    busy = np.clip((t - 8) / 2, 0, 1)
+    rate = busy * (0.8 * np.sin(0.9 * t) + 0.8 * np.sin(6 * t))
+    speed = busy * (0.3 + 0.2 * np.sin(1.7 * t))
+    heading = np.cumsum(rate) * 0.005
+    vel = speed[:, None] * np.stack([np.cos(heading), np.sin(heading)], 1)
+    pos, acc = np.cumsum(vel, axis=0) * 0.005, np.gradient(vel, 0.005, axis=0)
+    body = np.stack([np.cos(heading) * acc[:, 0] + np.sin(heading) * acc[:, 1], -np.sin(heading) * acc[:, 0] + np.cos(heading) * acc[:, 1]], 1)
+    noise = lambda s: rng.normal(0, s, len(t))
+    samples = pd.DataFrame({"session_id": 1, "t": t + lag, "gz": rate + 0.03 + noise(0.005), "ax": 0.1 - body[:, 1] + noise(0.02), "ay": 0.2 + body[:, 0] + noise(0.02), "az": 9.81 + noise(0.02)})
+    seen = slice(None, None, 7)
+    across = 0.02 * np.stack([np.cos(heading), np.sin(heading)], 1)[seen]
+    a, b = pos[seen] - across, pos[seen] + across
+    frames = pd.DataFrame({"session_id": 1, "t": t[seen], "x1": a[:, 0], "y1": a[:, 1], "x2": b[:, 0], "y2": b[:, 1]})
+    frames.loc[300:306, ["x1", "y1"]] = np.nan
+    return samples, frames
+
+
+def test_calibration_finds_lag_axes_and_signs(spark):
+    samples, frames = moving()
+    every = [spark.createDataFrame(pd.concat([df, df.assign(session_id=2).iloc[:2]])) for df in (samples, frames)]
+    reports = calibration.calibrate(*every).withColumn("text", calibration.report_text())
+    one, two = (reports.where(f"session_id = {i}").first() for i in (1, 2))
+    assert one["gyro_bias"] == pytest.approx(0.03, abs=0.005) and one["gravity_z"] == pytest.approx(9.81, abs=0.02)
+    assert one["yaw_lag"] == pytest.approx(0.12, abs=0.021) and one["yaw_corr"] > 0.95 and one["yaw_slope"] == pytest.approx(1, abs=0.1)
+    assert (one["body_x_axis"], one["body_x_sign"], one["body_y_axis"], one["body_y_sign"]) == ("y", 1, "x", -1)
+    assert one["body_x_corr"] > 0.8 and "body x: +y" in one["text"] and "body y: -x" in one["text"]
+    assert two["failure"] and two["gyro_bias"] is None
+    gates = CalibrationGates(max_horizontal_gravity=0.2)
+    verdict = lambda **kw: [r["problem"] for r in calibration.verdicts(reports, CalibrationGates(**kw.pop("gates", {})), **kw).orderBy("session_id").collect()]
+    assert verdict(fused=False) == [None, None] and verdict()[0] is None and verdict()[1] == two["failure"]
+    assert "gravity" in verdict(translation=True, gates={"max_horizontal_gravity": 0.2})[0] and verdict(gates={"max_horizontal_gravity": 0.2})[0] is None
+    assert "yaw" in verdict(gates={"min_yaw_corr": 0.9999})[0] and gates.run
+    # the scan alone, against the correlation of every lag
+    from tidemark.kernels.calibration import lag_scan
+
+    t, goal = frames["t"].to_numpy(), np.sin(frames["t"].to_numpy())
+    lags = np.linspace(-0.3, 0.3, 13)
+    found = lag_scan(samples["t"].to_numpy(), samples["gz"].to_numpy(), t, goal, lags)
+    tries = []
+    for lag in lags:
+        x = np.interp(t + lag, samples["t"], samples["gz"], left=np.nan, right=np.nan)
+        tries.append(abs(np.corrcoef(x[np.isfinite(x)], goal[np.isfinite(x)])[0, 1]))
+    assert abs(found["corr"]) == pytest.approx(max(tries)) and found["lag"] == pytest.approx(lags[int(np.argmax(tries))])
+    assert lag_scan(t, np.zeros(len(t)), t, goal, lags) is None
+
+
+def test_constant_sessions_have_no_correlation(spark):
+    source = spark.sql("SELECT id % 3 AS session_id, cast(id as double) t, CASE WHEN id % 3 = 0 THEN 1.0D ELSE sin(id) END AS v FROM range(60)")
+    goal = spark.sql("SELECT id % 3 AS session_id, cast(id as double) t, CASE WHEN id % 3 = 1 THEN 2.0D ELSE cos(id) END AS g FROM range(60)")
+    fits = {r["session_id"]: r["correlation"] for r in calculus.lag_fits(source, "v", goal, "g", [0.0]).collect()}
+    assert fits[0] is None and fits[1] is None and -1 <= fits[2] <= 1
+    assert calculus.best_lag(calculus.lag_fits(source, "v", goal, "g", [0.0, 3.0])).count() == 1
+
+
+def test_swaps_cover_their_share():
+    _, frames = simulate.session(simulate.SimConfig(duration_s=60.0), simulate.circle_path(), 1)
+    for share in (0.0, 0.02, 0.3, 1.0):
+        assert simulate.swap(frames, share, 5)["swap_applied"].mean() == pytest.approx(share, abs=0.02)
+    with pytest.raises(ValueError):
+        simulate.swap(frames, 1.5, 5)
+
+
+def test_3d_tracks_are_smoothed(spark):
+    samples, frames = simulate.spatial(spark, 2, 3.0)
+    out = filters.track_3d(samples, frames, simulate.OFFSETS_3D, FilterConfig(state_mode="3d_cam_6dof_imu"), smooth=True).toPandas()
+    trace = lambda c: np.stack(out[c]).reshape(len(out), 16, 16).trace(axis1=1, axis2=2)
+    assert (trace("smoothed_cov") <= trace("cov") * (1 + 1e-6)).mean() > 0.95
+    # at rest: the smoothed path stays closer to the origin than the filter's
+    off = lambda c: np.sqrt((np.stack(out[c])[:, :3] ** 2).sum(1).mean())
+    assert off("smoothed_mean") <= off("mean") and (out["nis_dim"] == 3 * len(simulate.OFFSETS_3D)).all()
+
+
+def test_masks_are_checked(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, 0.0), (2, 0.5), (2, None)], "session_id long, mask double")
+    assert {r["session_id"]: r["n_bad"] for r in validation.mask_violations(rows).collect()} == {1: 0, 2: 2}
+
+
+def test_nis_of_innovations(spark):
+    df = spark.createDataFrame([([2.0, 1.0], [4.0, 0.0, 0.0, 1.0]), ([1.0, 1.0], [1.0, 2.0, 2.0, 1.0])], "v array<double>, s array<double>")
+    assert [r[0] for r in df.select(filters.nis("v", "s")).collect()] == [pytest.approx(2.0), float("inf")]
+
+
 def test_bucketing_rules(spark):
     frames = temporal.numbered_frames(spark.sql("SELECT 1L session_id, id event_id, cast(id as double) t FROM range(3)"))
     events = spark.sql("SELECT 1L session_id, * FROM VALUES (0L, 0.0D, 7L, 'rise'), (1L, 0.5D, 7L, 'rise'), (2L, 1.0D, 7L, 'rise'), (3L, 1.5D, 7L, 'fall'), (4L, 9.0D, 7L, 'rise'), (5L, 1.0D, 8L, 'rise') AS e(event_id, t, source_id, edge)")

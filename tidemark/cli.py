@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import calculus, cleaning, filters, qa
+from tidemark.operators import calculus, calibration, cleaning, filters, qa
 from tidemark.plans.config import FilterConfig, SessionConfig, load_session_config
 from tidemark.sources import files
 
@@ -73,6 +73,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         files.write_diagnostics(verdict, f"{args.out}/safety")
         if verdict.where("not passed").head(1):
             raise ValueError("the fused path is implausible against the camera; see the safety folder")
+    if session.calibration is not None:
+        files.write_diagnostics(session.calibration.withColumn("text", calibration.report_text()), f"{args.out}/calibration")
     if session.accounting is not None:
         files.write_diagnostics(session.accounting, f"{args.out}/events")
     totals = written.groupBy("session_id").agg(F.sum("loglik").alias("loglik"), F.count("*").alias("frames"), F.count_if("vision").alias("frames_with_vision"))

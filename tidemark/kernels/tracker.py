@@ -42,6 +42,9 @@ class Estimate:
     predicted_cov: np.ndarray
     loglik: float
     vision: bool
+    #: Squared Mahalanobis distance of the LEDs' innovation and its dimensions, gated or not; None and 0 without LEDs.
+    nis: float | None = None
+    nis_dim: int = 0
 
 
 class ProcessNoise:
@@ -242,6 +245,7 @@ class ExtendedTracker:
             self.propagate(u, dt, vision)
         predicted = self.mean.copy(), self.cov.copy()
         loglik = 0.0
+        self.surprise: tuple[float | None, int] = (None, 0)
         if vision:
             loglik += self.camera(frame, leds)
             loglik += self.heading(frame, leds)
@@ -253,7 +257,7 @@ class ExtendedTracker:
             loglik += self.events(frame.fixes)
         self.pending = []
         self.frames += 1
-        return Estimate(self.mean.copy(), self.cov.copy(), *predicted, loglik, vision)
+        return Estimate(self.mean.copy(), self.cov.copy(), *predicted, loglik, vision, *self.surprise)
 
     # steps
     def propagate(self, u: np.ndarray, dt: float, vision: bool) -> None:
@@ -305,6 +309,7 @@ class ExtendedTracker:
             gain = nm.psd_solve(s, hp).T
             at = self.motion.normalise(prior_mean + gain @ innovation)
         nis, loglik = nm.mahalanobis_log_likelihood(innovation, s)
+        self.surprise = float(nis), len(innovation)
         if self._gated(nis, rows):
             return 0.0
         self.mean, self.cov = at, nm.joseph(prior_cov, gain, h, r)
@@ -408,6 +413,7 @@ class UnscentedTracker(ExtendedTracker):
         s = (off_z.T * wc) @ off_z + np.diag(self._camera_noise(frame)[rows])
         innovation = (frame.leds.ravel() - expected)[rows]
         nis, loglik = nm.mahalanobis_log_likelihood(innovation, s)
+        self.surprise = float(nis), len(innovation)
         if not math.isfinite(nis) or self._gated(nis, rows):
             return 0.0
         gain = nm.psd_solve(s, ((off_x.T * wc) @ off_z).T).T
@@ -462,6 +468,7 @@ class SpatialTracker(ExtendedTracker):
             gain = nm.psd_solve(s, hp).T
             at = self.motion.normalise(prior_mean + gain @ innovation)
         nis, loglik = nm.mahalanobis_log_likelihood(innovation, s)
+        self.surprise = float(nis), len(innovation)
         if self.cfg.use_mahalanobis_gating and not nis < nm.chi2_ppf(self.cfg.mahalanobis_threshold_prob, len(z)):
             return 0.0
         self.mean, self.cov = at, nm.joseph(prior_cov, gain, h, r)

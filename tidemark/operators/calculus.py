@@ -105,6 +105,12 @@ def stationary_medians(df: DataFrame, columns: list[str], by: str = "session_id"
     return df.groupBy(by).agg(*(F.median(F.when(F.col("stationary"), F.col(c))).alias(f"median_{c}") for c in columns), F.count_if("stationary").alias("stationary_samples"), F.avg(F.col("stationary").cast("double")).alias("stationary_fraction"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation over a group; null for fewer than three rows or a constant side, which the built-in one divides by."""
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return F.when((F.count("*") >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.covar_pop(x, y) / spread)
+
+
 def lag_fits(source: DataFrame, value: str, target: DataFrame, goal: str, lags: list[float], by: str = "session_id", t: str = "t") -> DataFrame:
     """For each session and lag, the least-squares line of target on the source interpolated at t + lag: correlation, slope, intercept, r2, n.
 
@@ -114,7 +120,7 @@ def lag_fits(source: DataFrame, value: str, target: DataFrame, goal: str, lags:
     pairs = interpolate(shifted, source, value, outside="null", by=by, t=t).where(F.col(f"interp_{value}").isNotNull() & F.col(goal).isNotNull())
     x, y = f"interp_{value}", goal
     return pairs.groupBy(by, "lag").agg(
-        F.count("*").alias("n"), F.when((F.count("*") >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y)).alias("correlation"),
+        F.count("*").alias("n"), correlation(x, y).alias("correlation"),
         F.when(F.count("*") >= 3, F.regr_slope(y, x)).alias("slope"), F.when(F.count("*") >= 3, F.regr_intercept(y, x)).alias("intercept"), F.when(F.count("*") >= 3, F.regr_r2(y, x)).alias("r2"),
     )
 

@@ -9,10 +9,12 @@ Spark can't push them through.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from tidemark.operators.cleaning import channels
 from tidemark.plans.config import FilterConfig, LedIdentityConfig, OrientationConfig
 
 _KEY = "session_id"
-ESTIMATES = f"{_KEY} bigint, frame bigint, t double, mean array<double>, cov array<double>, predicted_mean array<double>, predicted_cov array<double>, loglik double, vision boolean"
+ESTIMATES = f"{_KEY} bigint, frame bigint, t double, mean array<double>, cov array<double>, predicted_mean array<double>, predicted_cov array<double>, loglik double, vision boolean, nis double, nis_dim int"
 
 
 def _frames(f: pd.DataFrame) -> list[tracker.Frame]:
@@ -83,37 +85,49 @@ def track(samples: DataFrame, frames: DataFrame, cfg: FilterConfig, unscented: b
             return pd.DataFrame(columns=columns)
         out, means, covs = estimate_session(cfg, s, f, unscented, smooth, num_iter)
         table = {_KEY: key[0], "frame": np.arange(len(out)), "t": np.sort(f["t"].to_numpy(float))}
-        for name, get in (("mean", lambda e: e.mean), ("cov", lambda e: e.cov.ravel()), ("predicted_mean", lambda e: e.predicted_mean), ("predicted_cov", lambda e: e.predicted_cov.ravel()), ("loglik", lambda e: e.loglik), ("vision", lambda e: e.vision)):
-            table[name] = [get(e) for e in out]
-        if smooth:
-            table |= {"smoothed_mean": list(means), "smoothed_cov": [c.ravel() for c in covs]}
-        return pd.DataFrame(table)[columns]
+        return pd.DataFrame(table | _columns(out, means, covs))[columns]
 
     return _together(samples, frames).applyInPandas(run, schema)
 
 
+def _columns(out: list[tracker.Estimate], means: np.ndarray | None, covs: np.ndarray | None) -> dict[str, list]:
+    table = {
+        "mean": [e.mean for e in out], "cov": [e.cov.ravel() for e in out], "predicted_mean": [e.predicted_mean for e in out], "predicted_cov": [e.predicted_cov.ravel() for e in out],
+        "loglik": [e.loglik for e in out], "vision": [e.vision for e in out], "nis": [e.nis for e in out], "nis_dim": [e.nis_dim for e in out],
+    }
+    return table if means is None else table | {"smoothed_mean": list(means), "smoothed_cov": [c.ravel() for c in covs]}
+
+
+#: Partitions for each core that sessions are dealt to: few sessions then seldom share a task, and empty tasks cost little.
+SPREAD, MOST_TASKS = 16, 20_000
+
+
 def _together(left: DataFrame, right: DataFrame):
     """Both by session; the right side's columns renewed, as both may come from one table."""
-    return left.groupBy(_KEY).cogroup(right.toDF(*right.columns).groupBy(_KEY))
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SPREAD * spark.sparkContext.defaultParallelism, MOST_TASKS))
+    return left.repartition(tasks, _KEY).groupBy(_KEY).cogroup(right.toDF(*right.columns).repartition(tasks, _KEY).groupBy(_KEY))
 
 
-def track_3d(samples: DataFrame, frames: DataFrame, offsets: list[list[float]], cfg: FilterConfig) -> DataFrame:
-    """The 3-D filter: frames(session_id, t, leds array<array<double>>), an LED null or NaN where unseen; offsets on the body."""
+def track_3d(samples: DataFrame, frames: DataFrame, offsets: list[list[float]], cfg: FilterConfig, smooth: bool = False) -> DataFrame:
+    """The 3-D filter: frames(session_id, t, leds array<array<double>>), an LED null or NaN where unseen; offsets on the body.  smooth adds smoothed means and covariances."""
+    schema = ESTIMATES + (", smoothed_mean array<double>, smoothed_cov array<double>" if smooth else "")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if len(s) < 2 or not len(f):
-            return pd.DataFrame(columns=[c.split()[0] for c in ESTIMATES.split(", ")])
+            return pd.DataFrame(columns=names)
         s, f = s.sort_values("t"), f.sort_values("t")
         t, u = s["t"].to_numpy(float), s[["gx", "gy", "gz", "ax", "ay", "az"]].to_numpy(float)
         listed = [tracker.Frame(tt, np.array([[np.nan] * 3 if p is None else list(p) for p in leds], float)) for tt, leds in zip(f["t"], f["leds"], strict=True)]
         kernel = tracker.SpatialTracker(cfg, tracker.initial_state_3d(cfg, listed, np.array(offsets)), float(np.mean(np.diff(t))), np.array(offsets))
         out = tracker.run(kernel, t, u, listed)
-        return pd.DataFrame({
-            _KEY: key[0], "frame": np.arange(len(out)), "t": f["t"].to_numpy(float), "mean": [e.mean for e in out], "cov": [e.cov.ravel() for e in out],
-            "predicted_mean": [e.predicted_mean for e in out], "predicted_cov": [e.predicted_cov.ravel() for e in out], "loglik": [e.loglik for e in out], "vision": [e.vision for e in out],
-        })
+        means = covs = None
+        if smooth:
+            means, covs = smoother.rts(cfg, np.array([e.mean for e in out]), np.array([e.cov for e in out]), np.array([e.vision for e in out]), t, u, f["t"].to_numpy(float), 1)
+        return pd.DataFrame({_KEY: key[0], "frame": np.arange(len(out)), "t": f["t"].to_numpy(float)} | _columns(out, means, covs))[names]
 
-    return _together(samples, frames).applyInPandas(run, ESTIMATES)
+    return _together(samples, frames).applyInPandas(run, schema)
 
 
 def orient(samples: DataFrame, cfg: OrientationConfig, frames: DataFrame | None = None) -> DataFrame:
@@ -170,7 +184,7 @@ def nees(mean: str, cov: str, truth: str, heading: int | None = None):
             out[good] = np.einsum("ni,ni->n", e[good], np.linalg.solve(p[good], e[good][..., None])[..., 0])
         return pd.Series(out)
 
-    return one(F.col(mean), F.col(cov), F.col(truth))
+    return one(*(F.col(c) if isinstance(c, str) else c for c in (mean, cov, truth)))
 
 
 class LinearKalman:
@@ -194,7 +208,7 @@ class LinearKalman:
             return (t, x, v, xx, xv, vv), 0.0, False
         kx, kv = xx / total, xv / total
         after = (t, x + kx * e, v + kv * e, xx - kx * xx, xv - kx * xv, vv - kv * xv)
-        return after, -0.5 * (np.log(2 * np.pi * total) + e * e / total), True
+        return after, -0.5 * (math.log(2 * math.pi * total) + e * e / total), True
 
 
 LINEAR = f"{_KEY} bigint, event_id bigint, t double, x double, v double, pxx double, pxv double, pvv double, loglik double, used boolean"
@@ -204,30 +218,58 @@ def kalman_1d(rows: DataFrame, model: LinearKalman, smooth: bool = False) -> Dat
     """rows(session_id, event_id, t, z) in order of (t, event_id) through the filter; a null z only predicts.  smooth adds xs and vs."""
     schema = LINEAR + (", xs double, vs double" if smooth else "")
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t", "event_id"], kind="stable")
-        out, s = [], None
-        for event, t, z in zip(f["event_id"], f["t"], f["z"], strict=True):
-            s, loglik, used = model.step(s, t, None if z is None or z != z else z)
-            out.append((key[0], event, *s, loglik, used))
-        table = pd.DataFrame(out, columns=[c.split()[0] for c in LINEAR.split(", ")])
-        return table.assign(**smooth_1d(table, model.q)) if smooth else table
-
-    return rows.select(_KEY, "event_id", "t", "z").groupBy(_KEY).applyInPandas(run, schema)
-
-
-def smooth_1d(table: pd.DataFrame, q: float) -> dict[str, np.ndarray]:
-    """Rauch-Tung-Striebel means of a filtered session."""
-    t, x, v, xx, xv, vv = (table[c].to_numpy() for c in ("t", "x", "v", "pxx", "pxv", "pvv"))
-    xs, vs = x.copy(), v.copy()
-    for k in range(len(t) - 2, -1, -1):
-        dt = t[k + 1] - t[k]
-        f = np.array([[1, dt], [0, 1]])
-        p = np.array([[xx[k], xv[k]], [xv[k], vv[k]]])
-        ahead = f @ p @ f.T + q * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-        gain = p @ f.T @ np.linalg.inv(ahead)
-        xs[k], vs[k] = np.array([x[k], v[k]]) + gain @ (np.array([xs[k + 1], vs[k + 1]]) - f @ np.array([x[k], v[k]]))
-    return {"xs": xs, "vs": vs}
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64(), pa.int64(), *[pa.float64()] * 7, pa.bool_(), *[pa.float64()] * (len(names) - 10)]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def run(batches):
+        # sessions follow one another, each in order; one that is to be smoothed is held until its end
+        out, s, session = [], None, object()
+        done: list[tuple] = []
+        for rows in batches:
+            for key, event, t, z in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != session:
+                    if smooth and out:
+                        done += smooth_1d(out, model.q)
+                        out = []
+                    s, session = None, key
+                s, loglik, used = model.step(s, t, None if z is None or z != z else z)
+                out.append((key, event, *s, loglik, used))
+            ready, done = (done, []) if smooth else (out, [])
+            if not smooth:
+                out = []
+            if ready:
+                yield batch(ready)
+        if out:
+            yield batch(smooth_1d(out, model.q))
+
+    return rows.select(_KEY, "event_id", "t", "z").repartition(_KEY).sortWithinPartitions(_KEY, "t", "event_id").mapInArrow(run, schema)
+
+
+def smooth_1d(rows: list[tuple], q: float) -> list[tuple]:
+    """The rows of a filtered session with Rauch-Tung-Striebel means added."""
+    out = [(*rows[-1], *rows[-1][3:5])]
+    xs, vs = rows[-1][3:5]
+    for k in range(len(rows) - 2, -1, -1):
+        t, x, v, xx, xv, vv = rows[k][2:8]
+        dt = rows[k + 1][2] - t
+        # P F', and the prediction's covariance inverted in closed form
+        fx, fv = xx + dt * xv, xv + dt * vv
+        a, b, c = fx + dt * fv + q * dt * dt * dt / 3, fv + q * dt * dt / 2, vv + q * dt
+        det = a * c - b * b
+        ex, ev = xs - x - v * dt, vs - v
+        wx, wv = (c * ex - b * ev) / det, (a * ev - b * ex) / det
+        xs, vs = x + fx * wx + xv * wv, v + fv * wx + vv * wv
+        out.append((*rows[k], xs, vs))
+    return out[::-1]
+
+
+def nis(innovation: str, cov: str):
+    """Column v' S^-1 v of innovations: arrays v, and S row-major; infinite if S isn't positive definite."""
+    zero = F.transform(F.col(innovation), lambda _: F.lit(0.0))
+    return nees(zero, cov, innovation)
 
 
 def run_metadata(cfg: FilterConfig, **extra) -> str:

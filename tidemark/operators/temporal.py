@@ -91,7 +91,7 @@ def bucket_events(triggers: DataFrame, sources: DataFrame, frames: DataFrame, by
     interval, and a slot from 0 in it by ``tie``.  The sources are broadcast:
     a hand-written list, small by nature.
     """
-    known = triggers.join(F.broadcast(sources.select("source_id", "active_edge")), "source_id", "left").select(*triggers.columns, "active_edge")
+    known = triggers.join(sources.select("source_id", "active_edge"), "source_id", "left").select(*triggers.columns, "active_edge")
     placed = neighbours(known, frames, ["frame"], by=by, tie="frame").withColumn("__frame", F.col(f"{NEXT}.frame")).drop(PREV, NEXT)
     fate = F.when(F.col("active_edge").isNull(), "unknown_source").when(F.col("edge") != F.col("active_edge"), "edge_mismatch").when(F.col("__frame").isNull(), "after").when(F.col("__frame") == 0, "before").otherwise("kept")
     placed = placed.withColumn("fate", fate).withColumn("frame", F.when(F.col("fate") == "kept", F.col("__frame"))).drop("__frame", "active_edge")

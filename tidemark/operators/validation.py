@@ -48,13 +48,16 @@ def require(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {found[0].asDict()}")
 
 
-def calibration_verdicts(reports: DataFrame, gates) -> DataFrame:
-    """reports(stationary_samples, yaw_corr, gravity_x, gravity_y, min_abs_accel_corr) with ``problem``: the first gate failed, or null."""
+def calibration_verdicts(reports: DataFrame, gates, translation: bool = True) -> DataFrame:
+    """reports(stationary_samples, yaw_corr, gravity_x, gravity_y, min_abs_accel_corr) with ``problem``: the first gate failed, or null.
+
+    The last two gates hold only where acceleration moves the estimate.
+    """
     horizontal = F.hypot("gravity_x", "gravity_y")
     problem = (
         F.when(F.col("stationary_samples") < gates.min_stationary, "too few stationary samples")
         .when(F.coalesce(F.col("yaw_corr"), F.lit(-1.0)) < gates.min_yaw_corr, "yaw rate doesn't follow the camera")
-        .when(horizontal > gates.max_horizontal_gravity, "gravity isn't along the vertical axis")
-        .when(F.coalesce(F.col("min_abs_accel_corr"), F.lit(-1.0)) < gates.min_accel_corr, "acceleration doesn't follow the camera")
+        .when(F.lit(translation) & (horizontal > gates.max_horizontal_gravity), "gravity isn't along the vertical axis")
+        .when(F.lit(translation) & (F.coalesce(F.col("min_abs_accel_corr"), F.lit(-1.0)) < gates.min_accel_corr), "acceleration doesn't follow the camera")
     )
     return reports.withColumn("problem", problem)

@@ -233,6 +233,7 @@ class CameraColumns:
 class CalibrationGates:
     """What inertial data must show before they are fused."""
 
+    run: bool = True
     min_stationary: int = 10
     min_yaw_corr: float = 0.5
     max_horizontal_gravity: float = 1.0

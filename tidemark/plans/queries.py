@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import chi2_bounds
-from tidemark.operators import calculus, cleaning, filters, geometry, qa, temporal, validation
-from tidemark.plans.config import FilterConfig, ImuColumns, LedIdentityConfig, OrientationConfig, SafetyLimits
+from tidemark.operators import calculus, calibration, cleaning, filters, geometry, qa, temporal, validation
+from tidemark.plans.config import CalibrationGates, FilterConfig, ImuColumns, LedIdentityConfig, OrientationConfig, SafetyLimits
 from tidemark.sources import events as ev
 from tidemark.sources import simulate
 from tidemark.streaming import streams
@@ -356,7 +357,7 @@ def axis_sign_assignment(spark, d):
     wide = []
     for target, goal in (("x", "right_gx"), ("y", "right_gy")):
         for axis in AXES:
-            c = F.when((F.count("*") >= 3) & (F.var_pop(axis) > 0) & (F.var_pop(goal) > 0), F.corr(goal, axis))
+            c = calculus.correlation(axis, goal)
             wide.append(F.array(*(F.struct(F.lit(target).alias("target"), F.lit(axis).alias("axis"), F.lit(s).alias("sign"), (s * c).alias("correlation")) for s in (-1, 1))))
     scores = j.groupBy("session_id").agg(F.concat(*wide).alias("all")).select("session_id", F.inline("all"))
     return rounded(calculus.assign_axes(scores), "corr_x", "corr_y", digits=5)
@@ -601,6 +602,27 @@ def kalman_loglik(spark, d):
     return out.groupBy("session_id").agg(r(F.sum("loglik"), 3).alias("loglik"), F.count_if("used").alias("n_used"))
 
 
+#: Of a filter's rows: an update leaves pxx = p r / (p + r), so the innovation's variance is r^2 / (r - pxx), and the log-likelihood holds the rest.
+NIS = _kalman_sql(_FRAMES_Z) + ", n_ AS (SELECT session_id, event_id, -2 * loglik - ln(2 * pi() * 16.0 / (4.0 - pxx)) AS nis FROM rec WHERE used AND loglik <> 0)"
+_LOW_1, _HIGH_1 = chi2_bounds(1)
+
+
+def _nis(spark: SparkSession, d: str) -> DataFrame:
+    out = filters.kalman_1d(frames_z(spark, d), filters.LinearKalman()).where("used and loglik <> 0")
+    return out.select("session_id", "event_id", (-2 * F.col("loglik") - F.ln(2 * F.pi() * 16.0 / (4.0 - F.col("pxx")))).alias("nis"))
+
+
+@query(NIS + f" SELECT session_id, round(avg(nis), 4) + 0.0 AS mean, round(stddev_pop(nis), 4) + 0.0 AS std, round(min(nis), 4) + 0.0 AS min, round(max(nis), 4) + 0.0 AS max, round(CAST({_LOW_1!r} AS DOUBLE), 4) AS chi2_lower, round(CAST({_HIGH_1!r} AS DOUBLE), 4) AS chi2_upper, round(100 * avg(CASE WHEN nis BETWEEN {_LOW_1!r} AND {_HIGH_1!r} THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS pct_in_bounds FROM n_ GROUP BY 1")
+def nis_stats(spark, d):
+    """Squared innovations over their variance against the chi-square envelope of one dimension."""
+    return rounded(qa.envelope_stats(_nis(spark, d), "nis", 1), "mean", "std", "min", "max", "chi2_lower", "chi2_upper", "pct_in_bounds", digits=4)
+
+
+@query(NIS + " SELECT CAST(CASE WHEN nis >= 6 THEN 13 WHEN nis < 0 THEN 0 ELSE floor(nis / 0.5) + 1 END AS BIGINT) AS bin, count(*) AS n FROM n_ GROUP BY 1")
+def nis_histogram(spark, d):
+    return qa.histogram(_nis(spark, d), "nis", 0.0, 6.0, 12)
+
+
 _EVENTS_Z = "SELECT session_id, event_id, t, value AS z FROM frames UNION ALL SELECT e.session_id, e.event_id, e.t, CASE WHEN e.edge = s.active_edge THEN s.ax END AS z FROM triggers e JOIN sources s USING (source_id)"
 
 
@@ -715,6 +737,19 @@ def orientation_filter(spark, d):
     return rounded(out.select("session_id", "t", "roll", "pitch", "yaw", "bias_z"), "t", "roll", "pitch", "yaw", "bias_z")
 
 
+@query()
+def camera_body_acceleration(spark, d):
+    """Acceleration of the LED pair in the body's frame, from smoothed positions and headings."""
+    return rounded(calibration.body_acceleration(_ascending(led_frames(spark, d))), "t", "abx", "aby")
+
+
+@query()
+def imu_calibration(spark, d):
+    """Every session's inertial calibration, the gate it fails, and its report as text."""
+    out = calibration.verdicts(calibration.calibrate(_inertial(spark, d), _ascending(led_frames(spark, d)), gyro_limit=1.0, speed_limit=500.0, sigma_s=2.0, lags=np.linspace(-24.0, 24.0, 9)), CalibrationGates(), True, True)
+    return out.withColumn("text", calibration.report_text())
+
+
 @query()
 def simulate_rat(spark, d):
     samples, _ = simulate.rat(spark, SESSIONS, SECONDS)

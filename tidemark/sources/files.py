@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import cleaning, temporal, validation
+from tidemark.operators import calibration, cleaning, temporal, validation
 from tidemark.operators.filters import correct_identity, run_metadata
 from tidemark.plans.config import SessionConfig
 
@@ -71,6 +71,8 @@ class Session:
     samples: DataFrame
     frames: DataFrame
     accounting: DataFrame | None = None
+    #: Calibration reports with ``problem``, the reason not to fuse a session's inertial data.
+    calibration: DataFrame | None = None
 
 
 def load_session(spark: SparkSession, cfg: SessionConfig) -> Session:
@@ -84,6 +86,13 @@ def load_session(spark: SparkSession, cfg: SessionConfig) -> Session:
         validation.require(validation.time_violations(df), f"{name}: times must be finite and ascend")
     if cfg.led_identity.mode == "auto":
         frames = cleaning.swap_leds(correct_identity(frames, cfg.led_identity, cfg.filter.led_distance, samples.select("session_id", "t", "gz")))
+    if "mask" in frames.columns:
+        validation.require(validation.mask_violations(frames), "frames: mask must be 0 or 1")
+    judged = None
+    if cfg.gates.run:
+        fused = cfg.filter.state_mode != "vision_only"
+        moved = cfg.filter.state_mode != "2d_cam_6dof_imu_orientation" or cfg.filter.enable_experimental_accel_translation
+        judged = calibration.verdicts(calibration.calibrate(samples, frames), cfg.gates, fused, fused and moved)
     accounting = None
     if triggers:
         listed = {s.source_id: s for s in cfg.sources}
@@ -93,10 +102,10 @@ def load_session(spark: SparkSession, cfg: SessionConfig) -> Session:
         bucketed = temporal.bucket_events(triggers[0], sources, numbered)
         temporal.check_bucketed(bucketed, cfg.max_events_per_frame)
         accounting = temporal.drop_accounting(bucketed)
-        kept = bucketed.where("fate = 'kept'").join(F.broadcast(sources.select("source_id", "fix")), "source_id")
+        kept = bucketed.where("fate = 'kept'").join(sources.select("source_id", "fix"), "source_id")
         fixes = kept.groupBy("session_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "fix"))), lambda e: e["fix"]).alias("fixes"))
         frames = numbered.join(fixes, ["session_id", "frame"], "left").drop("frame")
-    return Session(cfg, samples, frames, accounting)
+    return Session(cfg, samples, frames, accounting, judged)
 
 
 def write_estimates(df: DataFrame, path: str) -> None:

@@ -130,9 +130,15 @@ def blackout(frames: pd.DataFrame, start: float, end: float) -> pd.DataFrame:
 
 def swap(frames: pd.DataFrame, share: float, seed: int) -> pd.DataFrame:
     """frames whose labels are exchanged in random runs that cover about ``share``."""
+    if not 0 <= share <= 1:
+        raise ValueError("share must be between 0 and 1")
     rng = np.random.default_rng(seed)
-    flips = rng.random(len(frames)) < max(share, 1e-9) / 10
-    state = np.logical_xor.accumulate(flips) & (rng.random() < 2)
+    # runs of about ten frames; so many of them are exchanged that their frames make the share
+    run = np.cumsum(rng.random(len(frames)) < 0.1)
+    order = rng.permutation(run.max() + 1) if len(frames) else run
+    sizes = np.bincount(run)[order] if len(frames) else run
+    chosen = order[np.cumsum(sizes) - sizes / 2 < share * len(frames)]
+    state = np.isin(run, chosen)
     out = frames.copy()
     out.loc[state, ["x1", "y1", "x2", "y2"]] = frames.loc[state, ["x2", "y2", "x1", "y1"]].to_numpy()
     return out.assign(swap_applied=state)

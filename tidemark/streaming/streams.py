@@ -76,7 +76,7 @@ def stream_track(rows: DataFrame, cfg: FilterConfig, first_mean: list[float], fi
                 leds = np.array([[r["x1"], r["y1"]], [r["x2"], r["y2"]]], float)
                 e = kernel.frame(tracker.Frame(r["t"], leds))
                 settled = r["t"]
-                out.append((key[0], kernel.frames - 1, r["t"], e.mean, e.cov.ravel(), e.predicted_mean, e.predicted_cov.ravel(), e.loglik, e.vision))
+                out.append((key[0], kernel.frames - 1, r["t"], e.mean, e.cov.ravel(), e.predicted_mean, e.predicted_cov.ravel(), e.loglik, e.vision, e.nis, e.nis_dim))
         state.update((pickle.dumps((kernel.state(), settled, rest)),))
         yield pd.DataFrame(out, columns=names)
 
