@@ -278,8 +278,9 @@ def _mixed(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """key, node, component c, the key's largest component top and its nodes n_top, of keys with several components."""
     placed = nodes.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    return shared.materialise(placed.join(mixed.select("key", F.col("most.c").alias("top"), F.col("most.n").alias("n_top")), "key"), "mixed")
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    keys = shared.materialise(keys.select("key", F.col("most.c").alias("top"), F.col("most.n").alias("n_top"), "n"), "keys")
+    return shared.materialise(shared.spread_join(placed, keys.drop("n"), ["key"], keys.select("key", "n")), "mixed")
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ HOT, LEAST_HOT = 1000, 100
 def spread_join(left: DataFrame, right: DataFrame, by: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
     """left.join(right, by, how) for a right side with one row a key, whatever share of the left rows a key has.
 
-    counts(*by, n): how many rows of the left side each key has; all three are
-    written tables.  Rows of the at most HOT keys that have more than one in
+    counts(*by, n): how many rows of the left side each key has; a written
+    table, as the right side is.  Rows of the at most HOT keys that have more than one in
     HOT of them stay where they are and meet these keys' rows by broadcast;
     the others are dealt by the key.
     """

@@ -244,8 +244,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield from _deal(*map(np.concatenate, zip(*held, strict=True)), buckets, doc_buckets, hash_bytes, whole=False)
 
     # a document with the words of a smaller doc_id: kind 2, its digest in place of hashes
-    first = known.where(F.col("n_words") >= width).groupBy("c1", "c2").agg(F.min("doc_id").alias("first"))
-    copies = known.join(first, ["c1", "c2"]).where("doc_id <> first").select("doc_id", "c1").distinct()
+    first = known.where(F.col("n_words") >= width).groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = shared.materialise(first, "classes")
+    copies = shared.spread_join(known, first.drop("n"), ["c1", "c2"], first.select("c1", "c2", "n")).where("doc_id <> first").select("doc_id", "c1").distinct()
 
     def name_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = len(batch)
