@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tests.compare import duck, rows
 from tests.conftest import SMALL
 from tests.llm import brute
-from tidemark.llm import bytepair, chat, components, leaks, lines, neardup, packing, quality, queries, substrings, tokenfiles, urls
+from tidemark.llm import bytepair, chat, components, leaks, lines, neardup, packing, quality, queries, shared, substrings, tokenfiles, urls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -415,3 +415,40 @@ def test_components(spark, monkeypatch, tasks):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found == {x: groups.find(x) for x in list(groups)} and none == 0
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    """Keys apart and together, with and without a partner, inner and left."""
+    monkeypatch.setattr(shared, "LEAST_HOT", 10)
+    left = spark.sql("SELECT id, CASE WHEN id < 400 THEN 1 WHEN id < 700 THEN 2 ELSE id END AS k FROM range(900)")
+    right = spark.sql("SELECT id AS k, id * 10 AS v FROM range(1, 900) WHERE id <> 2")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        out = shared.spread_join(left, right, ["k"], counts, how)
+        assert sorted(map(tuple, out.select("id", "k", "v").collect())) == sorted(map(tuple, left.join(right, "k", how).select("id", "k", "v").collect()))
+
+
+@pytest.mark.parametrize("least, most", [(8, 12), (12, 40), (40, 300)])
+def test_bands_find_similar_lines(least, most):
+    """Of lines just above the threshold a band finds at least 0.99, of very short ones 0.95."""
+    import pyarrow as pa
+
+    rng = random.Random(least)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    found = tried = 0
+    while tried < 400:
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(least, most))).strip()
+        b = a[: rng.randint(len(a) - 3, len(a))] if least < 12 else a
+        for _ in range(0 if least < 12 else rng.randint(1, max(1, len(a) // 40))):
+            at = rng.randrange(len(b))
+            b = b[:at] + rng.choice(letters) + b[at + 1 :]
+        x, y = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
+        if a.strip() == b.strip() or b != b.strip() or not 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            continue
+        tried += 1
+        keys = []
+        for block in lines.tb.blocks(pa.array([a, b])):
+            own = lines.Lines(block)
+            keys.append(lines.band_keys(lines.signatures(*own.shingles(np.arange(2)), 2)))
+        found += bool((keys[0][0] == keys[0][1]).any())
+    assert found >= (0.95 if least < 12 else 0.99) * tried

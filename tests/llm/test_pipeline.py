@@ -48,3 +48,23 @@ def test_an_empty_corpus_passes_every_stage(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_awkward_rows_pass_every_stage(spark):
+    """Null and repeated ids, repeated rows, null and empty texts, and a column with a name that operators use."""
+    prose = " ".join(f"word{i} then" for i in range(60))
+    other = " ".join(f"other{i} text" for i in range(60))
+    rows = [(None, prose), (None, prose), (1, prose), (1, prose), (1, other), (2, other + " more"), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept boolean")
+    stage = dict(pipeline.STAGES)
+    judged = stage["quality_rules"](spark, docs, SMALL)
+    assert judged.columns == docs.columns and all(r["text"] for r in judged.collect())
+    lined = stage["line_dedup"](spark, docs, SMALL)
+    # rows of equal doc_id and text are one document; null ids come first
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in lined.collect()) == [(0, prose), (0, prose), (1, other)] and lined.columns == docs.columns
+    near = stage["near_dedup"](spark, docs, SMALL)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near.collect()) == [(0, ""), (1, other), (1, prose), (3, ""), (4, "")] and near.columns == docs.columns
+    clean = stage["benchmark_decontamination"](spark, docs, SMALL)
+    assert clean.count() == len(rows) and clean.columns == docs.columns
+    packed = stage["best_fit_packing"](spark, docs, SMALL)
+    assert packed.count() == len(rows) and packed.where("n_tokens < 1").count() == 0
