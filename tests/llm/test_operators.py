@@ -293,6 +293,7 @@ def test_rotation_on_awkward_rows(spark):
     for _, own in out.groupby(["conv_id", "perspective"], dropna=False):
         own = own.sort_values("char_start")
         whole = "".join(own["rendered"])
+        assert own["seat"].tolist() == list(range(len(own)))
         for r in own.itertuples():
             assert whole[r.char_start : r.char_start + len(r.rendered)] == r.rendered
             assert (r.role == "assistant") == (r.mask_start == r.mask_start)

@@ -23,9 +23,8 @@ OPEN, NAMED, BODY, CLOSE = "<|turn|>", " name=", "\n", "<|end|>\n"
 def rotate(conversations: DataFrame) -> DataFrame:
     """(conv_id, perspective, turn, seat, role, name, rendered, char_start, mask_start, mask_end) of conversations(conv_id, turn, role, text).
 
-    ``seat`` numbers a rendering's turns from 0 within runs of RUN turn
-    numbers (with ``turn`` it gives their order).  ``rendered`` is the turn
-    with its markers, ``char_start`` where it begins in the rendering;
+    ``seat`` numbers a rendering's turns from 0.  ``rendered`` is the turn with
+    its markers, ``char_start`` where it begins in the rendering;
     mask_start and mask_end bound what is trained on (the assistant's text and
     its closing marker), null for turns that aren't.  Lengths are code points.
 
@@ -47,15 +46,15 @@ def rotate(conversations: DataFrame) -> DataFrame:
     head = F.concat(F.lit(OPEN), role, F.when(name.isNotNull(), F.concat(F.lit(NAMED), name)).otherwise(F.lit("")), F.lit(BODY))
     df = seen.select("conv_id", "perspective", "turn", "speaker", "text", role.alias("role"), name.alias("name"), F.length(head).alias("head"), F.concat(head, F.col("text"), F.lit(CLOSE)).alias("rendered"), own.alias("own"))
     df = df.withColumn("run", F.floor(F.col("turn") / RUN)).withColumn("chars", F.length("rendered").cast("long"))
-    # every run's characters, then the runs before it
-    totals = df.groupBy("conv_id", "perspective", "run").agg(F.sum("chars").alias("run_chars"))
+    # every run's characters and rows, then those of the runs before it
+    totals = df.groupBy("conv_id", "perspective", "run").agg(F.sum("chars").alias("run_chars"), F.count("*").alias("run_rows"))
     runs = Window.partitionBy("conv_id", "perspective").orderBy(F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("run").alias("r"), F.coalesce(F.sum("run_chars").over(runs), F.lit(0)).alias("before"))
+    before = totals.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("run").alias("r"), F.coalesce(F.sum("run_chars").over(runs), F.lit(0)).alias("before"), F.coalesce(F.sum("run_rows").over(runs), F.lit(0)).alias("seats"))
     df = df.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & F.col("run").eqNullSafe(F.col("r")))
     order = [F.col("turn").asc_nulls_first(), "speaker", "text"]
     within = Window.partitionBy("conv_id", "perspective", "run").orderBy(*order)
     start = F.col("before") + F.sum("chars").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars")
-    df = df.withColumns({"char_start": start, "seat": (F.row_number().over(within) - 1).cast("long")})
+    df = df.withColumns({"char_start": start, "seat": (F.col("seats") + F.row_number().over(within) - 1).cast("long")})
     trained = lambda c: F.when(F.col("own"), c)
     return df.select("conv_id", "perspective", "turn", "seat", "role", "name", "rendered", "char_start", trained(F.col("char_start") + F.col("head")).alias("mask_start"), trained(F.col("char_start") + F.col("chars")).alias("mask_end"))
 
@@ -67,7 +66,7 @@ s AS (SELECT r.*, p.perspective, CASE WHEN speaker = perspective THEN 'assistant
   CASE WHEN speaker NOT IN (perspective, '{SYSTEM}', '') THEN speaker END AS name FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, '{OPEN}' || role || CASE WHEN name IS NULL THEN '' ELSE '{NAMED}' || name END || chr(10) AS head FROM s),
 t AS (SELECT *, head || body || '{CLOSE.strip()}' || chr(10) AS rendered FROM h),
-w AS (SELECT *, sum(length(rendered)) OVER o - length(rendered) AS begins, row_number() OVER (PARTITION BY conv_id, perspective, floor(turn / {RUN}) ORDER BY turn NULLS FIRST, speaker, body) - 1 AS seat
+w AS (SELECT *, sum(length(rendered)) OVER o - length(rendered) AS begins, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body) - 1 AS seat
   FROM t WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, turn, CAST(seat AS BIGINT) seat, role, name, rendered, CAST(begins AS BIGINT) char_start,
   CASE WHEN speaker = perspective THEN CAST(begins + length(head) AS BIGINT) END mask_start, CASE WHEN speaker = perspective THEN CAST(begins + length(rendered) AS BIGINT) END mask_end
