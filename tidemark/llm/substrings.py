@@ -10,7 +10,7 @@ whose anchors occurs twice in the corpus is unique.
    They are only a filter, so as many bits are kept as make a chance match
    rare for this corpus (they grow with its logarithm).
 2. Documents meet their repeated anchors and extend each to the whole windows
-   around it, hashed with 64 bits.
+   around it, hashed with 96 bits.
 3. Windows are dealt into buckets by their hash; all but the first of each are
    sent back to their documents, which drop the words they cover.
 
@@ -68,26 +68,33 @@ def _doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
     return _bucket(tb.mix(doc.astype(np.int64).view(np.uint64), 0x3D), n)
 
 
-def _rows(kind: int, bucket: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None, hash_bytes: int) -> pa.RecordBatch:
-    """A row for each bucket with places, in the order of documents."""
+def _bytes(a: np.ndarray) -> np.ndarray:
+    """Little-endian bytes of unsigned integers, a row each."""
+    return np.ascontiguousarray(a.astype(a.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(a), a.itemsize)
+
+
+def _rows(kind: int, bucket: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None, hash_bytes: int, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket with places, in the order of documents; more: 32 bits that follow each hash."""
     order = np.lexsort((place, doc, bucket))
     bucket, doc, place = bucket[order], doc[order], place[order]
-    h = None if h is None else h[order]
+    wide = np.zeros((len(order), 0), np.uint8) if h is None else _bytes(h[order])[:, :hash_bytes]
+    if more is not None:
+        wide = np.hstack([wide, _bytes(more[order])])
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
     out: list[list] = [[], [], [], [], [], []]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own, at = doc[a:b], place[a:b]
         starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-        packed = b"" if h is None else h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :hash_bytes].tobytes()
+        packed = wide[a:b].tobytes()
         for column, value in zip(out, (kind, int(bucket[a]), _squeeze(own[starts]), np.diff(starts, append=b - a).astype(np.uint32).tobytes(), _squeeze(at.astype(np.int64)), packed), strict=True):
             column.append(value)
     types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["kind", "bucket", "docs", "counts", "places", "hashes"])
 
 
-def _read(table: pa.Table, kind: int, hash_bytes: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, place and hash of all packed rows of a kind."""
-    docs, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+def _read(table: pa.Table, kind: int, hash_bytes: int = 0, more: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, place and hash of all packed rows of a kind, and the 32 bits after each hash if there are more."""
+    docs, places, hashes, rests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     columns = [table.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
     for k, d, c, p, h in zip(*columns, strict=True):
         if k != kind:
@@ -95,27 +102,41 @@ def _read(table: pa.Table, kind: int, hash_bytes: int = 0) -> tuple[np.ndarray,
         docs.append(np.repeat(_spread(d, np.int64), np.frombuffer(c, np.uint32)))
         places.append(_spread(p, np.int64))
         if hash_bytes:
-            wide = np.zeros((len(places[-1]), 8), np.uint8)
-            wide[:, :hash_bytes] = np.frombuffer(h, np.uint8).reshape(-1, hash_bytes)
+            raw = np.frombuffer(h, np.uint8).reshape(len(places[-1]), hash_bytes + 4 * more)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :hash_bytes] = raw[:, :hash_bytes]
             hashes.append(wide.view("<u8").ravel())
-    return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
+            if more:
+                rests.append(np.ascontiguousarray(raw[:, hash_bytes:]).view("<u4").ravel())
+    return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes), np.concatenate(rests)
+
 
+def _first(h: np.ndarray, doc: np.ndarray, place: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and which of them is the first there.
 
-def _deal(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int, doc_buckets: int, hash_bytes: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    With more bits, those must be equal too, and the first is the least (doc, place).
+    """
+    order = np.argsort(h, kind="stable") if more is None else np.lexsort((place, doc, more, h))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[order[1:]] != h[order[:-1]]
+    if more is not None:
+        fresh[1:] |= more[order[1:]] != more[order[:-1]]
+    return order, fresh
+
+
+def _deal(h: np.ndarray, doc: np.ndarray, place: np.ndarray, more: np.ndarray | None, buckets: int, doc_buckets: int, hash_bytes: int) -> Iterator[pa.RecordBatch]:
     """One occurrence of each hash to its bucket; further ones, known to repeat, to their documents.
 
-    whole: the first of equal hashes is the least (doc, place), and is not
-    reported as repeating; otherwise all of them repeat.
+    Whole windows have more bits; the first of equal ones is not reported as
+    repeating.  Of equal anchors, all repeat.
     """
-    order = np.lexsort((place, doc, h)) if whole else np.argsort(h, kind="stable")
+    order, fresh = _first(h, doc, place, more)
     h, doc, place = h[order], doc[order], place[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = h[1:] != h[:-1]
     again = ~fresh
-    if not whole:
+    if more is None:
         again[:-1] |= ~fresh[1:]
     # the low bytes travel; the bucket has the high ones
-    yield _rows(0, _bucket(h[fresh], buckets), doc[fresh], place[fresh], h[fresh], hash_bytes)
+    yield _rows(0, _bucket(h[fresh], buckets), doc[fresh], place[fresh], h[fresh], hash_bytes, None if more is None else more[order][fresh])
     if again.any():
         yield _rows(1, _doc_bucket(doc[again], doc_buckets), doc[again], place[again], None, 0)
 
@@ -126,13 +147,11 @@ def _repeats(dealt: DataFrame, doc_buckets: int, hash_bytes: int, whole: bool) -
     def run(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == 1:
             return table
-        doc, place, h = _read(table, 0, hash_bytes)
-        order = np.lexsort((place, doc, h))
-        h, doc, place = h[order], doc[order], place[order]
-        again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
+        doc, place, h, more = _read(table, 0, hash_bytes, whole)
+        order, fresh = _first(h, doc, place, more if whole else None)
+        doc, place, again = doc[order], place[order], ~fresh
         if not whole:
-            again[:-1] |= again[1:].copy()
+            again[:-1] |= ~fresh[1:]
         return pa.Table.from_batches([_rows(1, _doc_bucket(doc[again], doc_buckets), doc[again], place[again], None, 0)])
 
     return dealt.groupBy("kind", "bucket").applyInArrow(run, _PACKED)
@@ -187,11 +206,16 @@ class _Texts:
         same = (ids[order[1:]] == ids[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]])
         self.repeated[order[1:][same]] = True
         self.ids, self.base = ids, base
+        self.listed, self.rank = np.unique(ids, return_inverse=True)
         self.found = found
 
-    def keys(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """A number for each place of a document of this bucket, to test membership by."""
-        return tb.mix(doc.astype(np.int64).view(np.uint64), 0x71) + place.astype(np.uint64)
+    def keys(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A number for each place of the document that a row is of, to test membership by."""
+        return (self.rank[row] << 40) + place
+
+    def marks(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """These numbers for places of documents of this bucket, ascending."""
+        return np.sort((np.searchsorted(self.listed, doc) << 40) + place)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -238,10 +262,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 held.append((h[use], ids[block.first + text[use]], place[use]))
                 size += len(held[-1][0])
                 if size >= FLUSH:
-                    yield from _deal(*map(np.concatenate, zip(*held, strict=True)), buckets, doc_buckets, hash_bytes, whole=False)
+                    yield from _deal(*map(np.concatenate, zip(*held, strict=True)), None, buckets, doc_buckets, hash_bytes)
                     held, size = [], 0
         if size:
-            yield from _deal(*map(np.concatenate, zip(*held, strict=True)), buckets, doc_buckets, hash_bytes, whole=False)
+            yield from _deal(*map(np.concatenate, zip(*held, strict=True)), None, buckets, doc_buckets, hash_bytes)
 
     # a document with the words of a smaller doc_id: kind 2, its digest in place of hashes
     first = known.where(F.col("n_words") >= width).groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -268,8 +292,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if k == 2:
                 copied.setdefault(int.from_bytes(d, "little", signed=True), set()).add(int.from_bytes(c, "little", signed=True))
         own = _Texts(left, copied, width)
-        doc, place, _ = _read(right, 1)
-        return own, np.sort(own.keys(doc, place))
+        doc, place, *_ = _read(right, 1)
+        return own, own.marks(doc, place)
 
     def is_in(keys: np.ndarray, marked: np.ndarray) -> np.ndarray:
         if not len(marked):
@@ -282,6 +306,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         held = []
         for block, found, h in own.found:
             at, x = tb.windows(h, found.offs, width)
+            rest = tb.prefix(tb.mix(h, 0x99))
             if not len(at):
                 continue
             text = np.searchsorted(found.offs, at, "right") - 1
@@ -290,13 +315,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             # anchors are marked by their place in the text
             word_text = found.text_of()
             word_place = np.arange(len(h)) - found.offs[word_text]
-            hit = is_in(own.keys(own.ids[block.first + word_text], word_place), marked) & _IN_COVER[word_place % PERIOD]
+            hit = is_in(own.keys(block.first + word_text, word_place), marked) & _IN_COVER[word_place % PERIOD]
             seen = np.concatenate([[0], np.cumsum(hit)])
             use = (seen[at + PERIOD] > seen[at]) & ~own.copy[row] & ~own.repeated[row]
-            held.append((x[use], own.ids[row[use]], own.base[row[use]] + place[use]))
+            more = (tb.span(rest, at[use], at[use] + width) >> np.uint64(32)).astype(np.uint32)
+            held.append((x[use], own.ids[row[use]], own.base[row[use]] + place[use], more))
         if not held:
             return pa.Table.from_batches([_rows(0, *[np.zeros(0, np.int64)] * 3, None, 8)])
-        return pa.Table.from_batches(list(_deal(*map(np.concatenate, zip(*held, strict=True)), buckets, doc_buckets, 8, whole=True)))
+        return pa.Table.from_batches(list(_deal(*map(np.concatenate, zip(*held, strict=True)), buckets, doc_buckets, 8)))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         own, marked = bucket_of(left, right)
@@ -307,7 +333,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             word_text = found.text_of()
             row = block.first + word_text
             place = np.arange(len(h)) - found.offs[word_text] + own.base[row]
-            hit = is_in(own.keys(own.ids[row], place), marked)
+            hit = is_in(own.keys(row, place), marked)
             steps = np.zeros(len(h) + width + 1, np.int64)
             starts = np.flatnonzero(hit)
             np.add.at(steps, starts, 1)
