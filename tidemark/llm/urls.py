@@ -1,13 +1,13 @@
 """URL filters: allow and block rules by host and path, and for the rest a linear model on hashed character n-grams.
 
 All of it is Spark SQL functions; the model is fitted by full-batch gradient
-steps, each one SQL aggregate over a small labelled table, and held as an
-array of DIMENSIONS weights.
+steps, all in one job, over a small labelled table gathered in one row, and
+held as an array of DIMENSIONS weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
@@ -73,24 +73,29 @@ def fit(labelled: DataFrame, steps: int = STEPS, ridge: float = RIDGE, most: int
     each weight by its gradient over a bound of the curvature, so the loss
     never grows.  Without rows of both labels all weights are 0.
     """
-    spark = labelled.sparkSession
     rows = labelled.select("host", "path", F.col("label").cast("double").alias("y")).where("host is not null and path is not null and y is not null").distinct()
-    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "y").limit(most)
-    rows = shared.materialise(_features(rows).select("__x", "y").coalesce(1), "labelled-urls")
-    zeros = "[" + ",".join(["0.0"] * DIMENSIONS) + "]"
-    if rows.select("y").distinct().count() < 2:
-        return zeros
-    # one partition holds the bounded sample, so no step shuffles
-    rows = rows.coalesce(1)
-    weights = zeros
-    for _ in range(steps):
-        missed = rows.select("__x", (F.col("y") - 1 / (1 + F.exp(-_margin(weights)))).alias("r"), F.size("__x").alias("f"))
-        gradient = missed.select(F.explode("__x").alias("i"), "r", "f").groupBy("i").agg(F.sum("r").alias("g"), F.sum("f").alias("f"))
-        now = spark.range(0, 1, 1, 1).select(F.posexplode(F.from_json(F.lit(weights), "array<double>")).alias("i", "w"))
-        moved = now.join(F.broadcast(gradient), "i", "left").select("i", (F.col("w") + (F.coalesce("g", F.lit(0.0)) - ridge * F.col("w")) / (0.25 * F.coalesce("f", F.lit(0)) + ridge)).alias("w"))
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"])
-        weights = moved.agg(F.to_json(ordered)).first()[0]
-    return weights
+    rows = rows.withColumn("h", F.xxhash64("host", "path")).orderBy("h", "host", "path", "y").limit(most)
+    rows = _features(rows.withColumn("at", F.row_number().over(Window.orderBy("h", "host", "path", "y")) - 1)).select("at", "__x", "y")
+    # for each bucket, the rows that have it and a bound of the curvature
+    held = rows.select("at", F.explode("__x").alias("i"), F.size("__x").alias("f")).groupBy("i")
+    held = held.agg(F.array_sort(F.collect_list("at")).alias("at"), (0.25 * F.sum("f") + ridge).alias("bound")).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("at", "bound")))).alias("held"))
+    other = F.struct(F.array().cast("array<int>").alias("at"), F.lit(ridge).alias("bound"))
+    held = held.select(F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("held", i), other)).alias("held"))
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("at", "__x", "y"))).alias("rows"))
+    both = rows.unionByName(held, allowMissingColumns=True).agg(F.first("rows", ignorenulls=True).alias("rows"), F.first("held", ignorenulls=True).alias("held"))
+    # written, as an expression that a lambda names would be worked out at each of its calls
+    sample = shared.materialise(both, "labelled-urls")
+
+    def stepped(w: Column, _: Column) -> Column:
+        missed = F.transform("rows", lambda r: r["y"] - 1 / (1 + F.exp(-F.aggregate(r["__x"], F.lit(0.0), lambda acc, i: acc + F.get(w, i)))))
+        moved = lambda m: F.zip_with(w, "held", lambda v, b: v + (F.aggregate(b["at"], F.lit(0.0), lambda acc, at: acc + F.get(m, at)) - ridge * v) / b["bound"])
+        # an array of one, so that what is missed is worked out once a step
+        return F.get(F.transform(F.array(missed), moved), 0)
+
+    zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
+    learnt = F.size(F.array_distinct(F.transform("rows", lambda r: r["y"]))) > 1
+    steady = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zeros, stepped)
+    return sample.select(F.to_json(F.when(learnt, steady).otherwise(zeros))).first()[0]
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, url: str = "url") -> DataFrame:
