@@ -16,6 +16,9 @@ def _check(ok: bool, what: str) -> None:
         raise ValueError(what)
 
 
+# Names and defaults of the settings below, in every class, so that session files load alike.
+
+
 @dataclass(frozen=True)
 class FilterConfig:
     """Settings of the recursive filters.  Variances in SI units; densities per root hertz."""
