@@ -407,6 +407,7 @@ def test_components(spark, monkeypatch, tasks):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)] + [(500, i) for i in range(501, 700)] + [(7, 7), (None, 3)]
+    edges += [(2000, i) for i in range(1000, 1200)] + [(i, i + 1) for i in rng.sample(range(3000, 3300), 300)]
     groups = brute.Union()
     for a, b in edges:
         if a is not None and a != b:

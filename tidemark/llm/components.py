@@ -1,13 +1,14 @@
 """Connected components of a graph given as an edge table, by distributed union-find.
 
-Each task first settles the links of its own partition by union-find, which
-leaves it a forest: at most one link a node, to the least node it can reach
-there.  Rounds then settle the forests between tasks: every node above goes to
-the least node that a neighbour knows of (large star), then every node's
-smaller neighbours to their least (small star).  A round is two grouped minima
-with map-side combining and no task ever holds a neighbourhood: the minimum is
-joined back instead of collecting neighbours, so a hub of any degree is spread
-by the join.  Rounds grow with the logarithm of the longest path between tasks.
+Each task first settles the links it reads by union-find, which leaves it a
+forest: at most one link down from a node, to the least node it can reach
+there.  The forests are dealt by the upper end, of which no task sent more
+than one link, and settled again, so hubs of any degree are no hot keys of
+this shuffle.  Rounds then replace the lower end of every link by the node
+its own link leads to and settle again, until no lower end has a link down
+and no task has found links for others.  A round is one join and one shuffle more.  The join's right
+side has one row a node; the rows of a root with very many nodes are split by
+Spark's adaptive skew joins.  Paths halve in each round.
 """
 
 from __future__ import annotations
@@ -56,28 +57,40 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _settled(links: DataFrame, name: str) -> DataFrame:
-    """links(u, v), u > v, without repeats, each task's share shrunk."""
-    return shared.materialise(links.distinct().mapInArrow(_shrink, "u long, v long"), name)
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v, moved), dealt by u, as a task's forest; open unless nothing moved and all its links are own.
+
+    own: u came as an upper end, so no other task has an own link down from it.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    upper: list[np.ndarray] = []
+    size = kept = 0
+    moved = False
+    for batch in batches:
+        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        moved |= bool(batch.column(2).to_numpy(zero_copy_only=False).any())
+        held.append((u, v))
+        upper.append(u)
+        size += len(batch)
+        if size >= HELD + 2 * kept:
+            held, upper = [_forest(*map(np.concatenate, zip(*held, strict=True)))], [np.unique(np.concatenate(upper))]
+            size = kept = len(held[0][0])
+    if size:
+        u, v = _forest(*map(np.concatenate, zip(*held, strict=True)))
+        own = np.isin(u, np.concatenate(upper))
+        still = np.full(len(u), moved or not own.all())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, own, still)], names=["u", "v", "own", "open"])
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """Large star, then small star."""
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    # links go down from u, so what stands above a node are the u of its links
-    large = links.select("u", F.col("v").alias("w")).join(least.select(F.col("u").alias("w"), "m"), "w").select("u", F.col("m").alias("v"))
-    large = large.union(least.where("u > m").select("u", F.col("m").alias("v"))).distinct()
-    lower = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(lower.select("u", F.col("m").alias("v")))
+def _settled(links: DataFrame) -> DataFrame:
+    """links(u, v, moved), u > v, settled by the tasks that u deals them to."""
+    return shared.materialise(links.repartition("u").mapInArrow(_settle, "u long, v long, own boolean, open boolean"), "links")
 
 
-def _open(links: DataFrame) -> bool:
-    """Whether some node is both above and below a link, or has two links down."""
-    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
-    degree = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return not degree.where("up > 1 or up = 1 and down = 1").isEmpty()
+def _jumped(links: DataFrame) -> DataFrame:
+    """Each link's lower end replaced by the node its own link leads to; moved: there is one, or the link is new to its task."""
+    down = links.where("own").select(F.col("u").alias("v"), F.col("v").alias("w"))
+    return links.select("u", "v", "own").join(down, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("w").isNotNull() | ~F.col("own")).alias("moved"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -87,11 +100,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links the result is empty.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    links = _settled(links, "links")
+    links = _settled(links.mapInArrow(_shrink, "u long, v long").withColumn("moved", F.lit(True)))
     for _ in range(most_rounds):
-        if not _open(links):
+        if links.where("open").isEmpty():
             break
-        links = _settled(_stars(links), "links")
+        links = _settled(_jumped(links))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
