@@ -10,7 +10,7 @@ component of links the first line in the corpus, by (doc_id, line), is kept.
 
 from __future__ import annotations
 
-import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,16 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 _ORDER = np.argsort(tb.seeds(BUCKETS * BUCKETS, 0x1D).reshape(BUCKETS, BUCKETS), axis=1)
 _BAND_SEEDS = tb.seeds(BANDS, 0x2E)
 _ROW_FACTORS = tb.seeds(BUCKETS, 0x4F) | np.uint64(1)
-_RUN_FACTORS = tb.seeds(3, 0x95) | np.uint64(1)
+_RUN_FACTORS = tb.seeds(4, 0x95) | np.uint64(1)
 _BAG_VALUES = tb.seeds(256, 0x83)
 _NO_ID = -(1 << 63)
 #: Counts of a profile.
 PROFILE = 64
-_TO_LOWER = {c: c + 32 for c in range(65, 91)}
-_BLANK = re.compile(r"[\x20\x09-\x0D]*")
+#: Lines whose signatures are filled up together.
+GROUP = 2000
+# glibc keeps twice the largest array under 32 MB that it was given back, and
+# returns the rest to the system; a block's arrays would be faulted in each time
+np.empty(24 << 20, np.uint8)
 
 
 def _trimmed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +62,19 @@ def _trimmed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return start, end
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Sums of products by odd factors, in which only high bits depend on all of a run, mixed in place."""
+    h ^= h >> np.uint64(32)
+    h *= _RUN_FACTORS[3]
+    h ^= h >> np.uint64(32)
+    return h
+
+
 class Lines:
     """The lines of a block that have a word: bytes start..end, number in the text, 64-bit hash (node) and a second hash (check)."""
 
-    def __init__(self, block: tb.Block, check: bool = False):
-        buf = tb._LOWER[block.buf]
+    def __init__(self, block: tb.Block):
+        buf = tb._LOWER.take(block.buf)
         feeds = np.flatnonzero(buf == 10)
         # a line begins at each text and after each feed, and ends before the next of them
         start = np.concatenate([block.offs[:-1], feeds + 1])
@@ -79,15 +90,29 @@ class Lines:
         number = np.arange(len(start)) - np.searchsorted(text, text)
         start, end = _trimmed(buf, start, end)
         some = start < end
-        self.buf, self.sums = buf, tb.prefix(tb._BYTE_VALUES[buf])
+        self.buf = buf
         self.start, self.end, self.text, self.number = start[some], end[some], text[some], number[some]
-        self.node = tb.signed(tb.span(self.sums, self.start, self.end))
-        if check:
-            bag = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BAG_VALUES[buf])])
-            self.check = tb.signed(tb.mix(bag[self.end] - bag[self.start]))
+
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        """Each line's sum of values of the block's bytes."""
+        edges = np.stack([self.start, self.end], axis=1).ravel()
+        # a line at the block's end has no byte behind it
+        return np.add.reduceat(values, edges[:-1] if len(edges) and edges[-1] == len(values) else edges)[::2] if len(edges) else np.zeros(0, np.uint64)
+
+    @cached_property
+    def node(self) -> np.ndarray:
+        values = tb._BYTE_VALUES.take(self.buf)
+        powers, inverses = tb._tables(len(values))
+        values *= powers
+        size = (self.end - self.start).astype(np.uint64)
+        return tb.signed(tb.mix(self._sums(values) * inverses[self.start] + size * _RUN_FACTORS[0]))
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        return tb.signed(tb.mix(self._sums(_BAG_VALUES.take(self.buf))))
 
     def shingles(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in use, hash) of the characters' runs of the lines ``use``; a shorter line is one run."""
+        """(index in use, hash) of the characters' runs of the lines ``use``, ascending; a shorter line is one run."""
         # characters as code points of 21 bits; runs of the whole block, then those that lie in one line
         chars = np.frombuffer(self.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
         if len(chars) == len(self.buf):
@@ -97,26 +122,34 @@ class Lines:
             a, b = np.searchsorted(lead, self.start[use]), np.searchsorted(lead, self.end[use])
         long = b - a >= WIDTH
         pairs = chars[1:] << np.uint64(21) | chars[:-1]
-        h = tb.mix(pairs[:-3] * _RUN_FACTORS[0] + pairs[2:-1] * _RUN_FACTORS[1] + chars[4:] * _RUN_FACTORS[2]) if len(chars) >= WIDTH else np.zeros(0, np.uint64)
+        h = _mixed(pairs[:-3] * _RUN_FACTORS[0] + pairs[2:-1] * _RUN_FACTORS[1] + chars[4:] * _RUN_FACTORS[2]) if len(chars) >= WIDTH else np.zeros(0, np.uint64)
         size = np.where(long, b - a - WIDTH + 1, 0)
         owner = np.repeat(np.arange(len(use)), size)
-        at = np.arange(len(owner)) + np.repeat(a - (np.cumsum(size) - size), size)
-        h = h[at]
+        # a run lies in a line from its start to WIDTH - 1 before its end; lines don't overlap
+        inside = np.zeros(len(h) + 1, np.int8)
+        inside[a[long]] = 1
+        inside[b[long] - WIDTH + 1] = -1
+        h = h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
         if not long.all():
             few = np.flatnonzero(~long)
             owner = np.concatenate([owner, few])
-            h = np.concatenate([h, tb.span(self.sums, self.start[use][few], self.end[use][few])])
+            h = np.concatenate([h, self.node[use[few]].view(np.uint64)])
             order = np.argsort(owner, kind="stable")
             owner, h = owner[order], h[order]
         return owner, h
 
 
-def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """(n, BUCKETS) minima: the high half of a hash names the part, the low half is the value."""
+def _minima(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(n, BUCKETS) minima, _EMPTY in empty parts: the high half of a hash names the part, the low half is the value."""
     least = np.full(n * BUCKETS, _EMPTY)
     part = (h >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)
     np.minimum.at(least, owner * BUCKETS + part.view(np.int64), h.astype(np.uint32))
-    return tb.densify(least.reshape(n, BUCKETS), _EMPTY, _ORDER)
+    return least.reshape(n, BUCKETS)
+
+
+def signatures(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(n, BUCKETS) minima, empty parts filled from others."""
+    return tb.densify(_minima(owner, h, n), _EMPTY, _ORDER)
 
 
 def profiles(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +157,13 @@ def profiles(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
     Two sets differ in at least as many members as their counts do.
     """
-    own = tb.firsts(h ^ tb.mix(owner.astype(np.uint64), 0x7E))
-    owner, h = owner[own], h[own]
-    part = (tb.mix(h, 0x77) >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(owner * PROFILE + part, minlength=n * PROFILE).reshape(n, PROFILE)
+    keys = h ^ tb.mix(np.arange(n), 0x7E).take(owner)
+    order = np.argsort(keys)
+    keys = keys[order]
+    own = order[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+    # any six bits will do, members are hashes
+    part = owner * PROFILE + (h & np.uint64(PROFILE - 1)).view(np.int64)
+    counts = np.bincount(part[own], minlength=n * PROFILE).reshape(n, PROFILE)
     return counts.sum(axis=1), np.minimum(counts, 255).astype(np.uint8)
 
 
@@ -149,20 +185,34 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def _keys(batch: pa.RecordBatch):
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def filled() -> tuple[np.ndarray, np.ndarray]:
+        nodes, minima = map(np.concatenate, zip(*held, strict=True))
+        return band_keys(tb.densify(minima, _EMPTY, _ORDER)).ravel(), np.repeat(nodes, BANDS)
+
     for block in tb.blocks(batch.column(0)):
         lines = Lines(block)
         use = tb.firsts(lines.node.view(np.uint64))
-        for at in range(0, len(use), 2000):
-            few = use[at : at + 2000]
-            minima = signatures(*lines.shingles(few), len(few))
-            yield band_keys(minima).ravel(), np.repeat(lines.node[few], BANDS)
+        owner, h = lines.shingles(use)
+        for at in range(0, len(use), GROUP):
+            few = use[at : at + GROUP]
+            i, j = np.searchsorted(owner, [at, at + GROUP])
+            held.append((lines.node[few], _minima(owner[i:j] - at, h[i:j], len(few))))
+            size += len(few)
+            if size >= GROUP:
+                yield filled()
+                held, size = [], 0
+    if held:
+        yield filled()
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
         for block in tb.blocks(batch.column(2)):
-            lines = Lines(block, check=True)
+            lines = Lines(block)
             for held, own in zip(parts, (lines.text + block.first, lines.number, lines.node, lines.check), strict=True):
                 held.append(own)
         row, number, node, check = map(np.concatenate, parts)
@@ -176,18 +226,20 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     asked = places.groupBy("id", "version").agg(F.collect_list(F.struct("line", "node")).alias("asked"))
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, text = [], []
-        for whole, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = whole.split("\n")
-            for w in wanted:
-                node.append(w["node"])
-                text.append(own[w["line"]].strip(" \t\x0b\x0c\r").translate(_TO_LOWER))
-        column = pa.array(text, pa.string())
+        wanted = batch.column(1).flatten()
+        ends = np.cumsum(batch.column(1).value_lengths().to_numpy()).tolist()
+        line, node = wanted.field("line").to_pylist(), wanted.field("node")
+        text: list[bytes] = []
+        # bytes have the white space and the lower case that lines are compared with
+        for whole, end in zip(batch.column(0).cast(pa.binary()).to_pylist(), ends, strict=True):
+            own = whole.split(b"\n")
+            text += [own[k].strip().lower() for k in line[len(text) : end]]
+        column = pa.array(text, pa.binary()).cast(pa.string())
         size, profile = np.zeros(len(text), np.int64), np.zeros((len(text), PROFILE), np.uint8)
         for block in tb.blocks(column):
             rows = slice(block.first, block.first + len(block))
             size[rows], profile[rows] = profiles(*_members(block), len(block))
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), column, pa.array(size), tb.fixed_binary(profile)], names=["node", "text", "size", "profile"])
+        return pa.RecordBatch.from_arrays([node, column, pa.array(size), tb.fixed_binary(profile)], names=["node", "text", "size", "profile"])
 
     return docs.join(asked, ["id", "version"]).select("text", "asked").mapInArrow(shared.each_batch(pick), "node long, text string, size long, profile binary")
 
@@ -267,19 +319,19 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str
     schema = docs.withColumns({counts[0]: F.lit(0).cast("long"), counts[1]: F.lit(0).cast("long"), counts[2]: F.array().cast("array<bigint>")}).schema
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(at["text"]).to_pylist()
+        texts = batch.column(at["text"]).cast(pa.binary()).to_pylist()
         gone = [[] if g is None else g for g in batch.column(len(names)).to_pylist()]
         found = [0] * len(texts)
         for i, text in enumerate(texts):
             if text is None:
                 continue
-            own = text.split("\n")
-            found[i] = sum(not _BLANK.fullmatch(line) for line in own)
+            own = text.split(b"\n")
+            found[i] = sum(map(bool, map(bytes.strip, own)))
             if gone[i]:
                 lost = set(gone[i])
-                texts[i] = "\n".join([line for k, line in enumerate(own) if k not in lost])
+                texts[i] = b"\n".join([line for k, line in enumerate(own) if k not in lost])
         columns = list(batch.columns[: len(names)])
-        columns[at["text"]] = pa.array(texts, pa.string())
+        columns[at["text"]] = pa.array(texts, pa.binary()).cast(pa.string())
         columns += [pa.array(found, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(gone, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=[*names, *counts])
 

@@ -201,19 +201,25 @@ def pair_overlaps(text: np.ndarray, h: np.ndarray, pairs: int) -> tuple[np.ndarr
 def densify(least: np.ndarray, empty: np.uint64, order: np.ndarray) -> np.ndarray:
     """A copy of (n, buckets) in which an empty bucket has the value of the first that isn't, in its row of order."""
     flat, width = least.ravel(), least.shape[1]
-    full = flat.copy()
-    todo = np.flatnonzero(flat == empty)
+    probes = np.ascontiguousarray(order.T)
+    full, gaps, tried = least.copy(), least == empty, 0
+    # while many buckets are empty whole columns are moved, then single buckets
+    while tried < min(3, len(probes)) and 8 * np.count_nonzero(gaps) > gaps.size:
+        np.copyto(full, least.take(probes[tried], axis=1), where=gaps)
+        gaps, tried = full == empty, tried + 1
+    out = full.ravel()
+    todo = np.flatnonzero(gaps)
     column = todo % max(width, 1)
     row = todo - column
-    for probe in np.ascontiguousarray(order.T):
+    for probe in probes[tried:]:
         if not len(todo):
             break
         found = flat.take(row + probe.take(column))
         good = found != empty
-        full[todo[good]] = found[good]
+        out[todo[good]] = found[good]
         rest = ~good
         todo, row, column = todo[rest], row[rest], column[rest]
-    return full.reshape(least.shape)
+    return full
 
 
 def fixed_binary(matrix: np.ndarray) -> pa.Array:
