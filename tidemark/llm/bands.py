@@ -72,8 +72,8 @@ def _rows(kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(spans), pa.int32()), pa.array([int(bucket[i]) for i, _ in spans], pa.int32()), *packed], names=["kind", "bucket", "keys", "nodes", "centres"])
 
 
-def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(key, node, centre) of all nodes that share a key with another; keys_of gives (keys, nodes) of parts of a batch.
+def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(key, node, centre) of all nodes that share a key with another; keys_of gives (keys, nodes) of parts of a task's batches.
 
     A key that only two nodes have gives one row, of the second with the first
     as its centre and no key.  expected: about how many keys there are.
@@ -94,13 +94,12 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
 
     def deal(batches):
         held, size = [], 0
-        for batch in batches:
-            for part in keys_of(batch):
-                held.append(part)
-                size += len(part[0])
-                if size >= FLUSH:
-                    yield from flush(held)
-                    held, size = [], 0
+        for part in keys_of(batches):
+            held.append(part)
+            size += len(part[0])
+            if size >= FLUSH:
+                yield from flush(held)
+                held, size = [], 0
         if size:
             yield from flush(held)
 
@@ -115,7 +114,11 @@ def bucket_mates(source: DataFrame, expected: int, keys_of: Callable[[pa.RecordB
         if known:
             return pa.table({"key": tb.signed(keys), "node": nodes, "centre": read("centres", np.int64)})
         more = np.unique(keys[read("centres", bool)])
-        keys, nodes, centres, many = _stars(keys, nodes)
+        # most keys come once; only the others are sorted by the node
+        order = np.argsort(keys)
+        same = keys[order[1:]] == keys[order[:-1]]
+        again = order[np.append(same, False)[: len(order)] | np.insert(same, 0, False)[: len(order)]]
+        keys, nodes, centres, many = _stars(keys[again], nodes[again])
         keys, nodes, centres = keys[many], nodes[many], centres[many]
         # two nodes and no others: the pair says all
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
@@ -212,10 +215,17 @@ def _verified(pairs: DataFrame, sets: Sets, texts: DataFrame) -> DataFrame:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
                 n = len(batch)
+                # nodes come in several pairs; each one's members are listed once
+                _, first, place = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_index=True, return_inverse=True)
+                column = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(pa.array(first))
+                text, h = measure.listing(column)
+                size = np.bincount(text, minlength=len(first))
                 # texts 2i and 2i+1 are the pair i
-                turn = np.arange(2 * n).reshape(2, n).T.ravel()
-                column = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(pa.array(turn))
-                keep = measure.similar(*tb.pair_overlaps(*measure.listing(column), n))
+                turn = place.reshape(2, n).T.ravel()
+                count = size[turn]
+                at = np.repeat((np.cumsum(size) - size)[turn] - (np.cumsum(count) - count), count)
+                at += np.arange(len(at))
+                keep = measure.similar(*tb.pair_overlaps(np.repeat(np.arange(2 * n), count), h[at], n))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return shared.materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")

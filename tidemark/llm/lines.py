@@ -10,6 +10,7 @@ component of links the first line in the corpus, by (doc_id, line), is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -31,13 +32,13 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 _ORDER = np.argsort(tb.seeds(BUCKETS * BUCKETS, 0x1D).reshape(BUCKETS, BUCKETS), axis=1)
 _BAND_SEEDS = tb.seeds(BANDS, 0x2E)
 _ROW_FACTORS = tb.seeds(BUCKETS, 0x4F) | np.uint64(1)
-_RUN_FACTORS = tb.seeds(4, 0x95) | np.uint64(1)
+_RUN_FACTORS = tb.seeds(3, 0x95) | np.uint64(1)
 _BAG_VALUES = tb.seeds(256, 0x83)
 _NO_ID = -(1 << 63)
 #: Counts of a profile.
 PROFILE = 64
-#: Lines whose signatures are filled up together.
-GROUP = 2000
+#: Lines whose signatures are filled up together, and lines that a task remembers so as to have their keys once.
+GROUP, SEEN = 2000, 1 << 18
 # glibc keeps twice the largest array under 32 MB that it was given back, and
 # returns the rest to the system; a block's arrays would be faulted in each time
 np.empty(24 << 20, np.uint8)
@@ -63,10 +64,11 @@ def _trimmed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    """Sums of products by odd factors, in which only high bits depend on all of a run, mixed in place."""
-    h ^= h >> np.uint64(32)
-    h *= _RUN_FACTORS[3]
-    h ^= h >> np.uint64(32)
+    """``tb.mix`` in place."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(33)
     return h
 
 
@@ -125,11 +127,12 @@ class Lines:
         h = _mixed(pairs[:-3] * _RUN_FACTORS[0] + pairs[2:-1] * _RUN_FACTORS[1] + chars[4:] * _RUN_FACTORS[2]) if len(chars) >= WIDTH else np.zeros(0, np.uint64)
         size = np.where(long, b - a - WIDTH + 1, 0)
         owner = np.repeat(np.arange(len(use)), size)
-        # a run lies in a line from its start to WIDTH - 1 before its end; lines don't overlap
-        inside = np.zeros(len(h) + 1, np.int8)
-        inside[a[long]] = 1
-        inside[b[long] - WIDTH + 1] = -1
-        h = h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        # a run lies in a line from its start to WIDTH - 1 before its end; lines don't overlap, and few runs lie between them
+        gap = np.insert(b[long] - WIDTH + 1, 0, 0)
+        size = np.append(a[long], len(h)) - gap
+        inside = np.ones(len(h), bool)
+        inside[np.repeat(gap - np.cumsum(size) + size, size) + np.arange(size.sum())] = False
+        h = h[inside]
         if not long.all():
             few = np.flatnonzero(~long)
             owner = np.concatenate([owner, few])
@@ -184,17 +187,23 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return tb.mix(np.add.reduce(rows.reshape(-1, BANDS, ROWS), axis=2) + _BAND_SEEDS)
 
 
-def _keys(batch: pa.RecordBatch):
+def _keys(batches: Iterator[pa.RecordBatch]):
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: set[int] = set()
     size = 0
 
     def filled() -> tuple[np.ndarray, np.ndarray]:
         nodes, minima = map(np.concatenate, zip(*held, strict=True))
         return band_keys(tb.densify(minima, _EMPTY, _ORDER)).ravel(), np.repeat(nodes, BANDS)
 
-    for block in tb.blocks(batch.column(0)):
+    for block in (block for batch in batches for block in tb.blocks(batch.column(0))):
         lines = Lines(block)
         use = tb.firsts(lines.node.view(np.uint64))
+        nodes = lines.node[use].tolist()
+        use = use[np.fromiter((x not in seen for x in nodes), bool, len(nodes))]
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(nodes)
         owner, h = lines.shingles(use)
         for at in range(0, len(use), GROUP):
             few = use[at : at + GROUP]

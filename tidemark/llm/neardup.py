@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,10 +53,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(shared.each_batch(run), "id long, version long, n_shingles long, c1 long, c2 long, registers binary")
 
 
-def _keys(batch: pa.RecordBatch):
+def _keys(batches: Iterator[pa.RecordBatch]):
     """Band keys of classes(node, registers)."""
-    registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, hm.REGISTERS)
-    yield hm.band_keys(registers).ravel(), np.repeat(batch.column(0).to_numpy(), hm.BANDS)
+    for batch in batches:
+        registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, hm.REGISTERS)
+        yield hm.band_keys(registers).ravel(), np.repeat(batch.column(0).to_numpy(), hm.BANDS)
 
 
 def _hopeful(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:

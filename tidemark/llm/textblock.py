@@ -189,7 +189,7 @@ def pair_overlaps(text: np.ndarray, h: np.ndarray, pairs: int) -> tuple[np.ndarr
     if not len(h):
         return np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
     pair = text >> 1
-    keys = h ^ mix(pair.astype(_U), 0x35)
+    keys = h ^ mix(np.arange(pairs), 0x35).take(pair)
     order = np.argsort(keys)
     keys = keys[order]
     fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
