@@ -418,7 +418,12 @@ class UnscentedTracker(ExtendedTracker):
             return 0.0
         gain = nm.psd_solve(s, ((off_x.T * wc) @ off_z).T).T
         self.mean = self.mean + gain @ innovation
-        self.cov = nm.symmetric(self.cov - gain @ nm.symmetric(s) @ gain.T)
+        taken = gain @ nm.symmetric(s) @ gain.T
+        cov = nm.symmetric(self.cov - taken)
+        if np.linalg.eigvalsh(cov)[0] < 0:
+            # the points' jitter is part of what is taken; where it is more than what is left, it is part of the prior too
+            cov = nm.symmetric((off_x.T * wc) @ off_x - taken)
+        self.cov = cov
         return loglik
 
     def heading(self, frame: Frame, leds: np.ndarray) -> float:
