@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -63,3 +64,12 @@ def test_unscented_filters_survive_gaps(spark, tmp_path, name):
     """One measurement under the points' jitter left a negative variance, and the query ended with 'not positive definite'."""
     found = QUERIES[name](spark, write_events(tmp_path, [(7, *row) for row in GAPS])).toPandas()
     assert len(found) == 15 and found.notna().all().all() and np.isfinite(found.select_dtypes("number")).all().all()
+
+
+def test_gravity_axis_ties_are_decided_as_in_the_sql(spark, tmp_path):
+    """The first and the third mean are equal but for rounding, which depends on the order of the values; the rows' order in the table mustn't."""
+    listed = [(7, i * 10**9, "click", v, k) for i, (v, k) in enumerate([(13.12, 71), (12.34, 30), (30.77, 45), (17.11, 54)])]
+    folder = write_events(tmp_path, listed)
+    expected = duckdb.sql(ORACLE["gravity_axis_top1"].replace("FROM events", f"FROM '{folder}/events.parquet'")).df()
+    pd.read_parquet(f"{folder}/events.parquet")[::-1].to_parquet(f"{folder}/events.parquet")
+    assert rows(QUERIES["gravity_axis_top1"](spark, folder).toPandas()) == rows(expected)

@@ -146,12 +146,26 @@ def assign_axes(scores: DataFrame, by: str = "session_id") -> DataFrame:
     return pairs.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
-def gravity_axis(samples: DataFrame, columns: list[str], by: str = "session_id") -> DataFrame:
-    """The axis with the largest absolute mean, the first of equal ones, and its sign."""
+def gravity_axis(samples: DataFrame, columns: list[str], by: str = "session_id", order: str | None = None) -> DataFrame:
+    """The axis with the largest absolute mean, the first of equal ones, and its sign; one that can't be compared with a later one gives way to it.
+
+    Rounding decides between means that are equal but for it; with ``order``
+    each group's values are added up in that order, wherever the rows lie.
+    """
+    if order is not None:
+        samples = samples.repartition(by).sortWithinPartitions(by, order)
     means = samples.groupBy(by).agg(*(F.avg(c).alias(c) for c in columns))
-    best = F.greatest(*(F.abs(c) for c in columns)) if len(columns) > 1 else F.abs(columns[0])
-    pick = lambda f: F.coalesce(*(F.when(F.abs(c) == best, f(c)) for c in columns))
-    return means.select(by, pick(F.lit).alias("axis"), pick(lambda c: F.signum(c)).cast("int").alias("sign"), pick(lambda c: F.col(c)).alias("mean"))
+
+    def pick(f):
+        out = f(columns[-1])
+        for i in range(len(columns) - 2, -1, -1):
+            wins = F.lit(True)
+            for c in columns[i + 1 :]:
+                wins = wins & (F.abs(columns[i]) >= F.abs(c))
+            out = F.when(wins, f(columns[i])).otherwise(out)
+        return out
+
+    return means.select(by, pick(F.lit).alias("axis"), pick(F.signum).cast("int").alias("sign"), pick(F.col).alias("mean"))
 
 
 def safety_report(estimates: DataFrame, limits, by: str = "session_id") -> DataFrame:

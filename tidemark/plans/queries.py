@@ -365,8 +365,8 @@ def axis_sign_assignment(spark, d):
 
 @query(BASE + ", m AS (SELECT session_id, avg(value - 50) AS a, avg(k - 50) AS b, avg(value - k) AS c FROM samples GROUP BY 1) SELECT session_id, CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN 'a' WHEN abs(b) >= abs(c) THEN 'b' ELSE 'c' END AS axis, CAST(sign(CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN a WHEN abs(b) >= abs(c) THEN b ELSE c END) AS INTEGER) AS sign, round(CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN a WHEN abs(b) >= abs(c) THEN b ELSE c END, 6) + 0.0 AS mean FROM m")
 def gravity_axis_top1(spark, d):
-    s = ev.samples(spark, d).select("session_id", (F.col("value") - 50).alias("a"), (F.col("k") - 50).alias("b"), (F.col("value") - F.col("k")).alias("c"))
-    return rounded(calculus.gravity_axis(s, ["a", "b", "c"]), "mean")
+    s = ev.samples(spark, d).select("session_id", "event_id", (F.col("value") - 50).alias("a"), (F.col("k") - 50).alias("b"), (F.col("value") - F.col("k")).alias("c"))
+    return rounded(calculus.gravity_axis(s, ["a", "b", "c"], order="event_id"), "mean")
 
 
 @query(BASE + f""", e AS (SELECT session_id, t, value AS x, CAST(k AS DOUBLE) AS y, value + 1 AS vx, CAST(k AS DOUBLE) - 1 AS vy, CASE WHEN value <= {ev.DROPOUT_ABOVE} THEN value END AS m FROM frames),
