@@ -221,3 +221,29 @@ def test_command_line(spark, recorded, tmp_path, capsys):
     table.select("session_id", "t", *(F.col(c).alias(f"{c}_true") for c in ("x", "y", "vx", "vy", "heading"))).write.parquet(str(tmp_path / "truth"))
     assert cli.main(["report", "--run", str(tmp_path / "est"), "--truth", str(tmp_path / "truth"), "--out", str(tmp_path / "r"), "--state-dim", "8"]) == 0
     assert spark.read.json(str(tmp_path / "r" / "report")).first()["targets_met"]
+
+
+def test_many_sessions_are_tracked_as_each_alone(spark, monkeypatch):
+    """Tasks gather few rows at a time, one session is long, one has no frames, one no samples, one no number."""
+    monkeypatch.setattr(filters, "ROWS", 50)
+    monkeypatch.setattr(filters, "LONG", 120)
+    cfg = FilterConfig(state_mode="2d_cam_6dof_imu_orientation")
+    parts = {}
+    for i, seconds in enumerate((0.5, 0.8, 2.0, 0.6, 0.5, 0.7)):
+        samples, frames = simulate.session(simulate.SimConfig(duration_s=seconds, fs_imu=60.0), simulate.circle_path(), i, 9.81)
+        frames.loc[3:5, ["x1", "y1"]] = np.nan
+        parts[i] = samples[["t", "gx", "gy", "gz", "ax", "ay", "az"]], frames[["t", "x1", "y1", "x2", "y2"]]
+    key = lambda i: None if i == 5 else i
+    tables = []
+    for side, alone in ((0, 6), (1, 7)):
+        listed = [(key(i), *map(float, row)) for i, p in parts.items() for row in p[side].itertuples(index=False)] + [(alone, *map(float, row)) for row in parts[0][side].itertuples(index=False)]
+        columns = ", ".join(f"{c} double" for c in parts[0][side].columns)
+        tables.append(spark.createDataFrame(listed, f"session_id bigint, {columns}"))
+    found = filters.track(*tables, cfg).toPandas()
+    assert found["session_id"].isna().sum() == len(parts[5][1]) and set(found["session_id"].dropna()) == set(range(5))
+    for i, (samples, frames) in parts.items():
+        one = filters.estimate_session(cfg, samples, frames)[0]
+        rows = found[found["session_id"].isna() if i == 5 else found["session_id"] == i].sort_values("frame")
+        assert rows["frame"].tolist() == list(range(len(one))) and rows["vision"].tolist() == [e.vision for e in one] and rows["nis_dim"].tolist() == [e.nis_dim for e in one]
+        assert np.allclose(rows["t"], frames["t"]) and np.allclose(rows["loglik"], [e.loglik for e in one], rtol=1e-6)
+        assert np.allclose(np.stack(rows["mean"]), [e.mean for e in one], rtol=1e-6, atol=1e-9) and np.allclose(np.stack(rows["predicted_cov"]), [e.predicted_cov.ravel() for e in one], rtol=1e-6, atol=1e-9)
