@@ -59,7 +59,7 @@ def write_events(folder, listed: list[tuple]) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ukf_2d_full"])
+@pytest.mark.parametrize("name", ["ukf_2d_full", "sigma_point_smoother_2d"])
 def test_unscented_filters_survive_gaps(spark, tmp_path, name):
     """One measurement under the points' jitter left a negative variance, and the query ended with 'not positive definite'."""
     found = QUERIES[name](spark, write_events(tmp_path, [(7, *row) for row in GAPS])).toPandas()
