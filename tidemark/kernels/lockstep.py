@@ -256,8 +256,7 @@ class Noise(tracker.ProcessNoise):
 def sigma_points(mean: np.ndarray, cov: np.ndarray, cfg: FilterConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sessions, 2n+1, n) points, and the weights."""
     n, lam = mean.shape[1], cfg.sigma_scaling
-    jitter = np.maximum(1e-8 * np.trace(cov, axis1=1, axis2=2) / n, 1e-12)
-    spread = np.sqrt(n + lam) * _t(np.linalg.cholesky(nm.symmetric(cov) + jitter[:, None, None] * np.eye(n)))
+    spread = np.sqrt(n + lam) * _t(nm.spread_factor(cov))
     wm = np.full(2 * n + 1, 0.5 / (n + lam))
     wm[0] = lam / (n + lam)
     wc = wm.copy()

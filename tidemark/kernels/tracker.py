@@ -420,7 +420,7 @@ class UnscentedTracker(ExtendedTracker):
         self.mean = self.mean + gain @ innovation
         taken = gain @ nm.symmetric(s) @ gain.T
         cov = nm.symmetric(self.cov - taken)
-        if np.linalg.eigvalsh(cov)[0] < 0:
+        if np.isfinite(cov).all() and np.linalg.eigvalsh(cov)[0] < 0:
             # the points' jitter is part of what is taken; where it is more than what is left, it is part of the prior too
             cov = nm.symmetric((off_x.T * wc) @ off_x - taken)
         self.cov = cov
@@ -486,8 +486,7 @@ class SpatialTracker(ExtendedTracker):
 def sigma_points(mean: np.ndarray, cov: np.ndarray, cfg: FilterConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """2n+1 points and their weights for means and covariances."""
     n, lam = len(mean), cfg.sigma_scaling
-    jitter = max(1e-8 * np.trace(cov) / n, 1e-12)
-    spread = math.sqrt(n + lam) * np.linalg.cholesky(nm.symmetric(cov) + jitter * np.eye(n)).T
+    spread = math.sqrt(n + lam) * nm.spread_factor(cov).T
     wm = np.full(2 * n + 1, 0.5 / (n + lam))
     wm[0] = lam / (n + lam)
     wc = wm.copy()
