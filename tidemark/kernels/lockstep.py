@@ -1,10 +1,10 @@
 """The filters of ``tracker`` and the backward passes of ``smoother`` over many sessions at once.
 
-All arrays have a leading axis of sessions: the k-th frames are taken
-together, and so are the j-th samples of their intervals, so that one NumPy
-call serves all sessions that are so long.  The arithmetic is that of the
-kernels of one session, whose names the steps here bear, and a session's results don't
-depend on the others.  Confidences,
+All arrays have a leading axis of sessions.  The filters take the next sample
+of all sessions that wait for one, or the next frame; the smoothers the k-th
+frames, and the j-th samples of their intervals.  The arithmetic is that of the
+kernels of one session, whose names the steps here bear, and a session's results
+depend on the others by rounding at most.  Confidences,
 position fixes and iterated smoothing are left to those.
 """
 
@@ -287,23 +287,30 @@ class Filter:
 
     def run(self) -> Estimates:
         d, cfg = self.data, self.cfg
-        count, n = d.frames, self.lay.n
-        sessions, total = len(count), len(d.t_frames)
+        n, sessions, total = self.lay.n, len(d.frames), len(d.t_frames)
         out = Estimates(np.empty((total, n)), np.empty((total, n, n)), np.empty((total, n)), np.empty((total, n, n)), np.zeros(total), d.seen.any(axis=1), np.full(total, np.nan), np.zeros(total, int))
         known, stationary = np.zeros(sessions, bool), np.zeros(sessions, bool)
         age = np.full(sessions, cfg.zupt_visual_context_hold_frames + 1)
         points = np.full((total, d.leds.shape[2]), np.nan)
         points[out.vision] = np.where(d.seen[out.vision, :, None], d.leds[out.vision], 0.0).sum(axis=1) / d.seen[out.vision].sum(axis=1)[:, None]
         window = cfg.zupt_camera_stationary_window_frames
-        for k in range(int(count.max(initial=0))):
-            who = np.flatnonzero(count > k)
-            at = d.f_at[who] + k
-            vision = out.vision[at]
-            moved, moves = np.zeros((len(who), d.u.shape[1])), np.zeros(len(who))
-            for of, i in d.steps(at):
-                self.propagate(who[of], d.u[i], d.dt[i], vision[of])
-                moved[of] += d.u[i]
-                moves[of] += 1
+        # where each session is: its frame, the next sample of the frame's interval, what the interval's samples add up to
+        frame, sample = d.f_at[:-1].copy(), d.low[d.f_at[:-1]].copy()
+        all_moved, all_moves = np.zeros((sessions, d.u.shape[1])), np.zeros(sessions)
+        while len(live := np.flatnonzero(frame < d.f_at[1:])):
+            ahead = sample[live] < d.high[frame[live]]
+            if 2 * ahead.sum() >= len(live):
+                # a sample of those that have one, unless more wait at their frames
+                who = live[ahead]
+                i = sample[who]
+                self.propagate(who, d.u[i], d.dt[i], out.vision[frame[who]])
+                all_moved[who] += d.u[i]
+                all_moves[who] += 1
+                sample[who] += 1
+                continue
+            who = live[~ahead]
+            at, k = frame[who], frame[who] - d.f_at[who]
+            vision, moved, moves = out.vision[at], all_moved[who], all_moves[who]
             out.predicted_mean[at], out.predicted_cov[at] = self.mean[who], self.cov[who]
             for leds in np.unique(d.seen[at[vision]], axis=0) if vision.any() else ():
                 same = vision & (d.seen[at] == leds).all(axis=1)
@@ -313,12 +320,9 @@ class Filter:
                 if self.offsets is None and cfg.use_heading_measurement and leds.all():
                     self.heading(some, f, out.loglik)
             known[who] |= vision
-            if k >= window:
-                then = at - window
-                both = vision & out.vision[then]
-                speed = np.linalg.norm(points[at] - points[then], axis=1) / np.maximum(d.t_frames[at] - d.t_frames[then], 1e-6)
-            else:
-                both, speed = np.zeros(len(who), bool), np.zeros(len(who))
+            then = np.maximum(at - window, d.f_at[who])
+            both = (k >= window) & vision & out.vision[then]
+            speed = np.linalg.norm(points[at] - points[then], axis=1) / np.maximum(d.t_frames[at] - d.t_frames[then], 1e-6)
             age[who] = np.where(both, 0, age[who] + 1)
             stationary[who] = np.where(both, speed <= cfg.zupt_velocity_threshold, stationary[who] & (age[who] <= cfg.zupt_visual_context_hold_frames))
             if cfg.enable_zupt:
@@ -327,6 +331,9 @@ class Filter:
                 if still.any():
                     out.loglik[at[still]] += self.rest(who[still])
             out.mean[at], out.cov[at] = self.mean[who], self.cov[who]
+            all_moved[who], all_moves[who] = 0.0, 0.0
+            frame[who] += 1
+            sample[who] = d.low[np.minimum(at + 1, total - 1)]
         return out
 
     def propagate(self, who, u, dt, vision) -> None:
